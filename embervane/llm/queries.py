@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, lines, minhash, packing, pii, quality, toxicity
+from . import bpe, fingerprint, lines, minhash, packing, pii, quality, suffix, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_pii_sanitisation": op4_pii_sanitisation,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_fingerprints": op7_fingerprints,
     "op8_line_dedup": op8_line_dedup,
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op5_suffix_array_dedup": suffix.SQL,
     "op8_line_dedup": lines.SQL,
     "fingerprint_groups": fingerprint.GROUPS_SQL,
 }
