@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, lines, minhash, packing, pii, quality, suffix, toxicity
+from . import bpe, embdedup, fingerprint, lines, minhash, packing, pii, quality, suffix, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = embdedup.similar_pairs(table(spark, sf_dir, "embeddings"))
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
 def op4_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -57,6 +63,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_pii_sanitisation": op4_pii_sanitisation,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_quality_classifier": op6_quality_classifier,
@@ -68,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_embedding_near_dedup": embdedup.SQL,
     "op5_suffix_array_dedup": suffix.SQL,
     "op8_line_dedup": lines.SQL,
     "fingerprint_groups": fingerprint.GROUPS_SQL,
