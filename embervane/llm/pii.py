@@ -30,13 +30,14 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import SpanHash, buffers, cut, steps, words
 
 DISCLOSURE = 0.8
 Z = 3.0
@@ -46,9 +47,9 @@ BROADCAST_TERMS = 500_000
 _KEY = r"(?:api|access|auth|secret|private|client)?[_ -]?(?:token|secret|passw(?:or)?d|passwd|pwd|api[_ -]?key|access[_ -]?key|secret[_ -]?key)"
 #: In order of precedence where two begin at the same place.
 PATTERNS: dict[str, str] = {
-    "EMAIL": r"[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{2,}",
-    "SECRET": rf"(?i:(?<![^\W_]){_KEY}\s*[=:]\s*(?:\"[^\"\n]{{4,}}\"|'[^'\n]{{4,}}'|[^\s\"'|,;]{{6,}}))"
-    r"|(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)|(?<!\w)gh[pousr]_\w{30,}|(?<!\w)sk-[\w\-]{20,}|eyJ[\w\-]+\.[\w\-]+\.[\w\-]+"
+    "EMAIL": r"(?<![\w.%+\-])[\w.%+\-]++@[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{2,}",
+    "SECRET": rf"(?i:(?<![^\W_]){_KEY}[ \t]*[=:][ \t]*(?:\"[^\"\n]{{4,}}\"|'[^'\n]{{4,}}'|[^\s\"'|,;]{{6,}}))"
+    r"|(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)|(?<!\w)gh[pousr]_(?=[A-Za-z]*\d)\w{30,}|(?<!\w)sk-(?=[A-Za-z\-_]*\d)[\w\-]{20,}|(?<!\w)eyJ(?=[A-Za-z_\-]*\d)[\w\-]+\.[\w\-]+\.[\w\-]+"
     r"|(?<!\w)(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,}(?!\w)",
     "IBAN": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "CARD": r"(?<![\w.])\d(?:[ \-]?\d){12,18}(?![\w]|\.\d)",
@@ -59,9 +60,12 @@ PATTERNS: dict[str, str] = {
 }
 CLASSES = list(PATTERNS)
 _ANY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
-#: Every pattern needs a digit, an at sign or one of these words: other texts aren't searched.
-_HINT = r"[0-9@]|(?i:token|secret|passw|pwd|key)|eyJ|gh[pousr]_|sk-"
-_WORD = re.compile(r"[^\W\d_]+")
+#: No pattern matches without one of these signs or crosses a line: other texts and lines aren't searched.
+_HINT = r"[0-9@=:]"
+_HINTED = re.compile(_HINT)
+#: Terms are runs of ASCII letters and of anything beyond ASCII.
+_WORD = re.compile("[A-Za-z\u0080-\U0010ffff]+")
+_BLANK = np.array([not (chr(b).isalpha() or b > 127) for b in range(256)])
 
 
 def _checked(kind: str, value: str) -> bool:
@@ -75,13 +79,19 @@ def _checked(kind: str, value: str) -> bool:
 
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, class) of protected entities, left to right."""
-    found, at = [], 0
-    while m := _ANY.search(text, at):
-        if _checked(m.lastgroup, m[0]):
-            found.append((m.start(), m.end(), m.lastgroup))
-            at = m.end()
-        else:  # a longer match of one class may hide a shorter one of another
-            at = m.start() + 1
+    found, at, search = [], 0, _ANY.search
+    while hint := _HINTED.search(text, at):
+        begin = text.rfind("\n", 0, hint.start()) + 1
+        end = text.find("\n", hint.start())
+        end = len(text) if end < 0 else end
+        at = max(at, begin)
+        while m := search(text, at, end):
+            if _checked(m.lastgroup, m[0]):
+                found.append((m.start(), m.end(), m.lastgroup))
+                at = m.end()
+            else:  # a longer match of one class may hide a shorter one of another
+                at = m.start() + 1
+        at = end
     return found
 
 
@@ -117,7 +127,7 @@ def hinted(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[\x00-@\[-`{-\x7f]+"), lambda w: w != ""))
 
 
 def wilson(hits: Column, n: Column, z: float = Z) -> Column:
@@ -126,37 +136,83 @@ def wilson(hits: Column, n: Column, z: float = Z) -> Column:
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
+def term_counter(candidates: list[str]):
+    """mapInArrow function over (low, hinted): in how many documents each candidate occurs, entities masked, by batch.
+
+    Words are hashed over the Arrow buffer and looked up among the candidates' hashes; no word becomes a Python string.
+    """
+    data, offsets = buffers(pa.array(candidates, pa.string()))
+    wanted = SpanHash(data).of(offsets[:-1], offsets[1:])
+    order = np.argsort(wanted)
+    wanted = wanted[order]
+
+    def count(texts: pa.Array) -> np.ndarray:
+        data, offsets = buffers(texts)
+        total = np.zeros(len(wanted), np.int64)
+        for a, b in steps(offsets):
+            own = data[offsets[a] : offsets[b]]
+            start, end, first = words(own, offsets[a : b + 1] - offsets[a], _BLANK[own])
+            h = SpanHash(own).of(start, end)
+            at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+            hit = np.flatnonzero(wanted[at] == h)
+            row = np.searchsorted(first, hit, side="right") - 1
+            pairs = np.unique(row * len(wanted) + at[hit])
+            total += np.bincount(pairs % len(wanted), minlength=len(wanted))
+        return total
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(wanted), np.int64)
+        for batch in batches:
+            low = batch["low"]
+            some = np.flatnonzero(batch["hinted"].is_valid().to_numpy(zero_copy_only=False))
+            found = {}
+            for i in some.tolist():
+                text = batch["hinted"][i].as_py()
+                if spans := entities(text):
+                    found[i] = masked(text, spans).lower()
+            plain = np.ones(len(low), bool)
+            plain[list(found)] = False
+            total += count(low.filter(pa.array(plain)))
+            total += count(pa.array(list(found.values()), pa.string()))
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"term": [candidates[order[i]] for i in hit], "n": pa.array(total[hit])}, schema=pa.schema([("term", pa.string()), ("n", pa.int64())]))
+
+    return counted
+
+
 def revealing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, min_values: int = MIN_VALUES, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(term, class, disclosure): terms that reveal a protected class at or over the threshold."""
     texts = docs.where("text is not null").select("text")
-    found = texts.select(F.col("text"), protected(hinted(F.col("text"))).alias("p"))
     total = texts.count()
+    found = texts.select(hinted(F.col("text")).alias("text")).where("text is not null").select(protected(F.col("text")).alias("p"))
     held = found.where("p is not null").select("p.rest", F.explode(F.arrays_zip("p.class", "p.value")).alias("e")).select("rest", "e.class", "e.value")
+    # few documents hold entities: cut, as classes and terms are counted from them
+    held = cut(held)
     size = {r["class"]: r["count"] for r in held.groupBy("class").count().collect()}  # one row for each class
-    session = docs.sparkSession
-    kind = "term string, class int, disclosure double"
     size = {c: n for c, n in size.items() if n < total}
     if not size:
-        return session.createDataFrame([], kind)
-    share = F.create_map(*[F.lit(x) for c, n in size.items() for x in (c, n / total)])
-    pairs = held.select("class", "value", F.explode(terms(F.col("rest"))).alias("term"))
+        return docs.sparkSession.createDataFrame([], "term string, class int, disclosure double")
+    p = F.element_at(F.create_map(*[F.lit(x) for c, n in size.items() for x in (c, n / total)]), F.col("class"))
+    pairs = held.where(F.col("class").isin(list(size))).select("class", "value", F.explode(terms(F.col("rest"))).alias("term"))
     met = pairs.groupBy("term", "class", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("term", "class")
     met = met.agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("values")).where(F.col("values") >= min_values)
-    candidates = met.where(F.element_at(share, F.col("class")).isNotNull()).persist()
-    try:
-        wanted = candidates.select("term").distinct()
-        every = found.select(F.explode(terms(F.coalesce("p.rest", "text"))).alias("term"))
-        if wanted.count() <= broadcast_terms:
-            counts = every.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
-        else:
-            counts = every.groupBy("term").agg(F.count(F.lit(1)).alias("documents")).join(wanted, "term", "left_semi")
-        p = F.element_at(share, F.col("class"))
-        low = wilson(F.col("values"), F.col("values") + F.col("documents") - F.col("together"))
-        scored = candidates.join(counts, "term").select("term", "class", (1 - F.log(low) / F.log(p)).alias("disclosure"))
-        rows = scored.where(F.col("disclosure") >= disclosure)
-        return cut(rows)
-    finally:
-        candidates.unpersist()
+    # the bound if the term occurred nowhere else; what fails it now fails whatever the total count is
+    most = wilson(F.col("values"), F.col("values").cast("double"))
+    candidates = cut(met.where(1 - F.log(most) / F.log(p) >= disclosure))
+    wanted = candidates.select("term").distinct()
+    names = sorted(r[0] for r in wanted.limit(broadcast_terms + 1).toLocalIterator())
+    if not names:
+        return candidates.select("term", "class", F.lit(1.0).alias("disclosure"))
+    if len(names) <= broadcast_terms:
+        lower = texts.select(F.lower("text").alias("low"), hinted(F.col("text")).alias("hinted"))
+        counts = lower.mapInArrow(term_counter(names), "term string, n long").groupBy("term").agg(F.sum("n").alias("documents"))
+    else:
+        whole = texts.select("text", protected(hinted(F.col("text"))).alias("p"))
+        every = whole.select(F.explode(terms(F.coalesce("p.rest", "text"))).alias("term"))
+        counts = every.groupBy("term").agg(F.count(F.lit(1)).alias("documents")).join(wanted, "term", "left_semi")
+    low = wilson(F.col("values"), (F.col("values") + F.col("documents") - F.col("together")).cast("double"))
+    scored = candidates.join(counts, "term").select("term", "class", (1 - F.log(low) / F.log(p)).alias("disclosure"))
+    return cut(scored.where(F.col("disclosure") >= disclosure))
 
 
 def _replacer(revealing: dict[str, tuple[int, ...]]):
