@@ -36,6 +36,7 @@ NGRAMS = (3, 4, 5)
 MAX_TRAIN = 3000
 HOLD_OUT = 4  # every 4th labelled document sets the threshold
 EPOCHS = 6
+MIN_STEPS = 200  # few documents are gone through more often
 RATE = 2.0
 BATCH = 32
 #: Of the held-out good documents, at most this share may fall under the threshold.
@@ -121,6 +122,7 @@ def fit(texts: list[str], good: np.ndarray, epochs: int = EPOCHS, rate: float =
         by = np.argsort(bucket, kind="stable")
         distinct, begin = np.unique(bucket[by], return_index=True)
         batches.append((own, bucket, share, np.cumsum(n) - n, np.repeat(np.arange(len(own)), n)[by], share[by], distinct, begin))
+    epochs = max(epochs, -(-MIN_STEPS // max(1, len(batches))))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for own, bucket, share, first, doc, by_share, distinct, begin in batches:
