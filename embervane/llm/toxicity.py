@@ -40,8 +40,9 @@ PRIOR = 3
 BASE_BYTES = 16_384
 MAX_TRAIN = 8000
 MAX_FALSE = 0.015
-LEAST_LABELS = 12  # toxic documents that a language needs for a model of its own
+LEAST_LABELS = 6  # toxic documents that a language needs for a model of its own
 Z_SCORE, LEAST_RATIO, LEAST_DOCS = 4.0, 4.0, 4
+NEAR_WORDS = 40  # distinct words from which a text is tested for being a near copy of another
 #: (strategy, shortest match): quick and coarse, or near-optimal and fine. Calibration picks one for each language.
 FINDERS = ((zstandard.STRATEGY_LAZY, 4), (zstandard.STRATEGY_BTOPT, 3))
 _WINDOW = re.compile(rb"(?s).{1,%d}\S*\s*" % WINDOW)
@@ -87,8 +88,17 @@ class Model:
 def toxic_words(texts: list[str], toxic: np.ndarray) -> list[str]:
     """Words in significantly more toxic than ordinary documents, the most telling last (where zstandard reaches cheapest)."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
+    known: set[tuple] = set()
     for text, label in zip(texts, toxic):
-        seen[int(label)].update(set(_WORD.findall(text.lower())))
+        own = set(_WORD.findall(text.lower()))
+        if len(own) >= NEAR_WORDS:
+            # near copies would make their rare words look telling: of texts that share their longest words one counts
+            long = sorted(own, key=lambda w: (-len(w), w))
+            marks = {(int(label), *long[k : k + 8]) for k in (0, 8)}
+            if not marks.isdisjoint(known):
+                continue
+            known |= marks
+        seen[int(label)].update(own)
     yes, no = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
     found = {}
     for word, n in seen[1].items():
@@ -104,7 +114,9 @@ def toxic_words(texts: list[str], toxic: np.ndarray) -> list[str]:
 
 def fit(texts: list[str], toxic: np.ndarray) -> Model | None:
     """A model from two thirds of the texts, calibrated on the rest; None without enough of either kind."""
-    toxic = np.asarray(toxic, np.int64)
+    # copies say nothing new: one of each text and label
+    distinct = list(dict.fromkeys(zip(texts, np.asarray(toxic).tolist())))
+    texts, toxic = [t for t, _ in distinct], np.array([x for _, x in distinct], np.int64)
     held = np.arange(len(texts)) % 3 == 2
     if min(toxic[~held].sum(), (1 - toxic[~held]).sum()) < LEAST_LABELS or not toxic[held].any() or toxic[held].all():
         return None
