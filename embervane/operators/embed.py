@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
+from dataclasses import fields
 from pathlib import Path
 
 import numpy as np
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 from ..errors import ConfigError
 from ..functions.text import pre_tokenize
 from ..options import EmbedOptions
-from ..sources.model import ModelConfig, assemble
+from ..sources.model import Layer, ModelConfig, ModelWeights, assemble
 from ..sources.safetensors import SafeTensors
 from . import encoder
 from .tokenizer import Vocab, piece_ids, pre_tokenize_str
@@ -43,6 +45,17 @@ class Embedder:
     def from_bytes(cls, config: bytes, vocab: bytes, weights: bytes, do_lower_case: bool = True) -> Embedder:
         return cls(ModelConfig.parse(config.decode()), Vocab.parse(vocab.decode()), SafeTensors(weights), do_lower_case)
 
+    def doubled(self) -> Embedder:
+        """The same model, computed in double precision: for checks, not for speed."""
+
+        def up(part: ModelWeights | Layer):
+            own = {f.name: getattr(part, f.name) for f in fields(part)}
+            return type(part)(**{k: v.astype(np.float64) if isinstance(v, np.ndarray) else [up(x) for x in v] if isinstance(v, list) else v for k, v in own.items()})
+
+        out = copy.copy(self)
+        out.weights = up(self.weights)
+        return out
+
     @property
     def hidden_size(self) -> int:
         return self.config.hidden_size
@@ -67,7 +80,7 @@ class Embedder:
         return vectors(self, [self.token_ids(t, options.max_length) for t in texts], options)
 
     def column(self, text: Column, spark: SparkSession, options: EmbedOptions | None = None) -> Column:
-        """array<float>: the vector of each text, null for null.
+        """array<float> (double for a doubled model): the vector of each text, null for null.
 
         Words are cut off at ``max_length`` in the JVM before any is looked up; texts are batched by length and padded
         to the longest of their batch only, as padding can't change a real token's vector.
@@ -75,8 +88,10 @@ class Embedder:
         options = (options or self.default_options).checked(self.max_position_embeddings)
         words = F.slice(pre_tokenize(text, self.do_lower_case), 1, options.max_length - 2) if options.max_length > 2 else F.slice(pre_tokenize(text), 1, 0)
         shared = spark.sparkContext.broadcast(self)
+        double = self.weights.words.dtype == np.float64
+        kind = pa.list_(pa.float64() if double else pa.float32())
 
-        @F.arrow_udf(T.ArrayType(T.FloatType()))
+        @F.arrow_udf(T.ArrayType(T.DoubleType() if double else T.FloatType()))
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             model = shared.value
             for lists in batches:
@@ -86,7 +101,7 @@ class Embedder:
                 out: list[np.ndarray | None] = [None] * len(rows)
                 for i, v in zip(known, found):
                     out[i] = v
-                yield pa.array(out, pa.list_(pa.float32()))
+                yield pa.array(out, kind)
 
         return run(piece_ids(words, self.vocab, spark))
 
@@ -96,7 +111,7 @@ class Embedder:
 
 def vectors(model: Embedder, pieces: list[list[int]], options: EmbedOptions) -> np.ndarray:
     """Pooled vectors of texts given as word-piece ids, batched by length."""
-    out = np.zeros((len(pieces), model.hidden_size), np.float32)
+    out = np.zeros((len(pieces), model.hidden_size), model.weights.words.dtype)
     order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
     vocab, at = model.vocab, 0
     while at < len(order):

@@ -159,16 +159,23 @@ QUERIES["wordpiece_native"] = lambda spark, d: tokens(spark, d).distinct().selec
 SQL["wordpiece_native"] = SQL["wordpiece"]
 
 _VOCAB = "[" + ", ".join(f"'{_quote(x)}'" for x in TOKENS) + "]"
-_IDS = f"""
-WITH {_WORDS}, cut AS (SELECT doc_id, unnest(words[1:{MAX_LENGTH - 2}]) AS w, generate_subscripts(words[1:{MAX_LENGTH - 2}], 1) AS i FROM words),
+
+
+def _ids_sql(n: int) -> str:
+    """Word-piece ids of each document's first ``n - 2`` pieces, as table ``every``."""
+    return f"""
+WITH {_WORDS}, cut AS (SELECT doc_id, unnest(words[1:{n - 2}]) AS w, generate_subscripts(words[1:{n - 2}], 1) AS i FROM words),
 pieces AS (SELECT doc_id, i, {_pieces_sql("w")} AS p FROM cut),
 ids AS (
-  SELECT doc_id, flatten(list(list_transform(p, lambda x: list_position({_VOCAB}, x) - 1) ORDER BY i))[1:{MAX_LENGTH - 2}] AS ids
+  SELECT doc_id, flatten(list(list_transform(p, lambda x: list_position({_VOCAB}, x) - 1) ORDER BY i))[1:{n - 2}] AS ids
   FROM pieces GROUP BY doc_id),
 every AS (SELECT d.doc_id, coalesce(ids, CAST([] AS INTEGER[])) AS ids FROM documents d LEFT JOIN ids USING (doc_id))
 """
 
 
+_IDS = _ids_sql(MAX_LENGTH)
+
+
 def encoded(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", tk.encode(F.col("text"), vocab(), spark, MAX_LENGTH).alias("e"))
 
@@ -431,6 +438,72 @@ def edge_request(spark: SparkSession, d: str) -> DataFrame:
     return answers.select("conv_id", "turn", "status", F.coalesce(error, F.lit("")).alias("error"), F.coalesce(dim, F.lit(0)).alias("dim"))
 
 
+@cache
+def tiny() -> Embedder:
+    """One layer, small enough for its weights to be written out in SQL."""
+    config = ModelConfig(len(TOKENS), 8, 1, 2, 16, 16)
+    return Embedder(config, vocab(), SafeTensors(write(seeded(config, 2))))
+
+
+def _encoder_sql() -> str:
+    """Tokens, embeddings, one encoder layer, mean pooling and normalisation as joins, sums and windows."""
+    m = tiny()
+    w, layer, eps = m.weights, m.weights.layers[0], m.config.layer_norm_eps
+    heads, width = m.config.num_attention_heads, m.config.head_dim
+
+    def values(x: np.ndarray) -> str:
+        cells = x if x.ndim == 2 else x[None]
+        return "(VALUES " + ", ".join(f"({i}, {j}, {float(c)!r}::DOUBLE)" for i, row in enumerate(cells) for j, c in enumerate(row)) + ") AS t(i, j, w)"
+
+    parts = [
+        f"tok AS (SELECT doc_id, unnest(range(0, len(ids) + 2)) AS p, unnest(list_concat(list_concat([{m.vocab.cls_id}], ids), [{m.vocab.sep_id}])) AS id FROM every)",
+        f"x0 AS (SELECT doc_id, p, a.j AS d, a.w + b.w + c.w AS v FROM tok JOIN {values(w.words).replace('AS t(', 'AS a(')} ON a.i = id "
+        f"JOIN {values(w.positions).replace('AS t(', 'AS b(')} ON b.i = p AND b.j = a.j JOIN {values(w.types[0]).replace('AS t(', 'AS c(')} ON c.j = a.j)",
+    ]
+
+    def norm(out: str, of: str, gamma: np.ndarray, beta: np.ndarray) -> None:
+        over = "OVER (PARTITION BY doc_id, p)"
+        parts.append(f"{out}_n AS (SELECT doc_id, p, d, (v - avg(v) {over}) / sqrt(var_pop(v) {over} + {eps!r}) AS v FROM {of})")
+        parts.append(f"{out} AS (SELECT doc_id, p, d, v * g.w + b.w AS v FROM {out}_n JOIN {values(gamma).replace('AS t(', 'AS g(')} ON g.j = d JOIN {values(beta).replace('AS t(', 'AS b(')} ON b.j = d)")
+
+    def linear(out: str, of: str, matrix: np.ndarray, bias: np.ndarray) -> None:
+        parts.append(f"{out}_s AS (SELECT doc_id, p, j AS d, sum(v * w) AS v FROM {of} JOIN {values(matrix)} ON i = d GROUP BY doc_id, p, j)")
+        parts.append(f"{out} AS (SELECT doc_id, p, d, v + w AS v FROM {out}_s JOIN {values(bias)} ON j = d)")
+
+    def added(out: str, a: str, b: str) -> None:
+        parts.append(f"{out} AS (SELECT a.doc_id, a.p, a.d, a.v + b.v AS v FROM {a} a JOIN {b} b USING (doc_id, p, d))")
+
+    norm("x1", "x0", w.gamma, w.beta)
+    for name in "qkv":
+        linear(name, "x1", getattr(layer, name), getattr(layer, f"{name}_bias"))
+    parts += [
+        f"s AS (SELECT q.doc_id, q.p, k.p AS kp, q.d // {width} AS h, sum(q.v * k.v) / sqrt({width}.0) AS v FROM q JOIN k ON q.doc_id = k.doc_id AND q.d = k.d GROUP BY ALL)",
+        "e AS (SELECT *, exp(v - max(v) OVER (PARTITION BY doc_id, p, h)) AS y FROM s)",
+        "a AS (SELECT doc_id, p, kp, h, y / sum(y) OVER (PARTITION BY doc_id, p, h) AS v FROM e)",
+        f"c AS (SELECT a.doc_id, a.p, v.d, sum(a.v * v.v) AS v FROM a JOIN v ON a.doc_id = v.doc_id AND a.kp = v.p AND a.h = v.d // {width} GROUP BY ALL)",
+    ]
+    linear("o", "c", layer.o, layer.o_bias)
+    added("x2", "x1", "o")
+    norm("x3", "x2", layer.attention_gamma, layer.attention_beta)
+    linear("u", "x3", layer.up, layer.up_bias)
+    parts.append(f"g AS (SELECT doc_id, p, d, 0.5 * v * (1 + tanh({v.GELU_SCALE} * (v + {v.GELU_CUBE} * v * v * v))) AS v FROM u)")
+    linear("f", "g", layer.down, layer.down_bias)
+    added("x4", "x3", "f")
+    norm("x5", "x4", layer.output_gamma, layer.output_beta)
+    parts.append("m AS (SELECT doc_id, d, avg(v) AS v FROM x5 GROUP BY ALL)")
+    final = "SELECT doc_id, CAST(d AS BIGINT) AS d, round(v / greatest(sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 1e-12), 6) + 0.0 AS v FROM m"
+    assert heads * width == m.hidden_size
+    return _ids_sql(m.max_position_embeddings) + ", " + ",\n".join(parts) + "\n" + final
+
+
+@query("encoder_forward_tiny", _encoder_sql())
+def encoder_forward_tiny(spark: SparkSession, d: str) -> DataFrame:
+    """Every document through one encoder layer in double precision, cut at the model's 16 positions."""
+    column = tiny().doubled().column(F.col("text"), spark, EmbedOptions(16))
+    cells = docs(spark, d).select("doc_id", F.posexplode(column).alias("d", "v"))
+    return rounded(cells.select("doc_id", F.col("d").cast("long").alias("d"), "v"))
+
+
 @query("embed_documents")
 def embed_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk of every document embedded; no SQL: the tests hold the kernel against an independent loop."""
