@@ -1,8 +1,4 @@
-"""Text functions on Columns: normalisation, pre-tokenisation, display and chunking, all inside the JVM.
-
-Only decomposition that yields several characters (Hangul, some kana, rare letters) needs Python, and only rows that hold
-such a character take that way.
-"""
+"""Text functions on Columns: normalisation, pre-tokenisation, display and chunking, all inside the JVM."""
 
 from __future__ import annotations
 
@@ -10,12 +6,11 @@ import sys
 import unicodedata
 from functools import cache
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import InvalidInput
+from .binding import let
 
 #: Regular expression classes; the same text is valid for Java and for RE2.
 WHITE = r"\x{09}-\x{0D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -69,10 +64,10 @@ def strip_accents_str(text: str) -> str:
 
 
 @cache
-def _decompositions() -> tuple[str, str, str]:
-    """(signs, what each becomes, class of signs that become several)."""
-    kept, single, several = [], [], []
-    for code in [*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)]:
+def _decompositions() -> tuple[str, str, dict[str, str], str]:
+    """(signs that become one, what they become, signs that become several or leave the basic plane, class of those and Hangul)."""
+    kept, single, several = [], [], {}
+    for code in [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, sys.maxunicode + 1)]:
         plain = strip_accents_str(chr(code))
         if plain == chr(code):
             continue
@@ -80,21 +75,22 @@ def _decompositions() -> tuple[str, str, str]:
             kept.append(chr(code))
             single.append(plain)
         elif plain:
-            several.append(code)
+            several[chr(code)] = plain
     gone = "".join(chr(c) for a, b in MARKS for c in range(a, b + 1))
-    spans, at = [], 0
-    while at < len(several):
-        end = at
-        while end + 1 < len(several) and several[end + 1] == several[end] + 1:
-            end += 1
-        spans.append(rf"\x{{{several[at]:X}}}-\x{{{several[end]:X}}}")
-        at = end + 1
-    return "".join(kept) + gone, "".join(single), "".join(spans)
+    codes = [ord(c) for c in several]
+    begins = [c for c in codes if c - 1 not in set(codes)]
+    ends = [c for c in codes if c + 1 not in set(codes)]
+    spans = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(begins, ends))
+    return "".join(kept) + gone, "".join(single), several, spans + r"\x{AC00}-\x{D7A3}"
 
 
-@F.arrow_udf(T.StringType())
-def _strip_slow(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else strip_accents_str(t) for t in texts.to_pylist()], pa.string())
+def _jamo(sign: Column) -> Column:
+    """A Hangul syllable's two or three letters, by arithmetic on its code."""
+    parts = [[chr(0x1100 + i) for i in range(19)], [chr(0x1161 + i) for i in range(21)], ["", *[chr(0x11A8 + i) for i in range(27)]]]
+    lead, vowel, tail = (F.array(*[F.lit(c) for c in p]) for p in parts)
+    code = F.ascii(sign) - 0xAC00
+    places = (F.floor(code / 588), F.floor(code % 588 / 28), code % 28)
+    return F.concat(*[F.element_at(p, i.cast("int") + 1) for p, i in zip((lead, vowel, tail), places)])
 
 
 def strip_accents(text: Column) -> Column:
@@ -102,10 +98,19 @@ def strip_accents(text: Column) -> Column:
 
     One-range tests come first: plain ASCII passes as it is, and the long class is tried only beyond the combining marks.
     """
-    source, target, several = _decompositions()
-    slow = text.rlike(r"[\x{340}-\x{10FFFF}]") & text.rlike(f"[{several}]")
-    plain = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, source, target)).otherwise(text)
-    return F.coalesce(_strip_slow(F.when(slow, text)), plain)
+    source, target, several, members = _decompositions()
+    known = F.map_from_arrays(F.array(*[F.lit(c) for c in several]), F.array(*[F.lit(c) for c in several.values()]))
+
+    def sign(c: Column) -> Column:
+        return F.when((c >= "\uac00") & (c <= "\ud7a3"), _jamo(c)).otherwise(F.coalesce(F.try_element_at(known, c), c))
+
+    def plain(x: Column) -> Column:
+        moved = F.translate(x, source, target)
+        slow = x.rlike(r"[\x{340}-\x{10FFFF}]") & x.rlike(f"[{members}]")
+        parts = F.transform(F.regexp_extract_all(moved, F.lit("(?s)."), F.lit(0)), sign)
+        return F.when(~x.rlike(r"[^\x00-\x7F]"), x).when(slow, F.array_join(parts, "")).otherwise(moved)
+
+    return let(text, plain)
 
 
 def pre_tokenize(text: Column, do_lower_case: bool = True) -> Column:
@@ -120,14 +125,17 @@ def chunk_array(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERL
     """array<string>: overlapping pieces of at most ``size`` code points, trimmed, blank ones dropped; null for null."""
     if size < 0 or overlap < 0:
         raise InvalidInput("size and overlap can't be negative")
-    body = trim_white(text)
     if size == 0:
         return F.when(text.isNotNull(), F.array().cast("array<string>"))
     step = max(size - overlap, 1)
-    last = F.ceil((F.char_length(body) - size) / step).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), last), lambda w: trim_white(F.substring(body, w * step + 1, F.lit(size))))
-    return (
-        F.when(body == "", F.array().cast("array<string>"))
-        .when(F.char_length(body) <= size, F.array(body))
-        .when(body.isNotNull(), F.filter(pieces, lambda p: p != ""))
-    )
+
+    def pieces(body: Column) -> Column:
+        last = F.ceil((F.char_length(body) - size) / step).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda w: trim_white(F.substring(body, w * step + 1, F.lit(size))))
+        return (
+            F.when(body == "", F.array().cast("array<string>"))
+            .when(F.char_length(body) <= size, F.array(body))
+            .when(body.isNotNull(), F.filter(parts, lambda p: p != ""))
+        )
+
+    return let(trim_white(text), pieces)

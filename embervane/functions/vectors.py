@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .binding import let
+
 EPS = 1e-12
 GELU_SCALE, GELU_CUBE = 0.7978846, 0.044715
 
@@ -46,14 +46,9 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once, not for each element of a lambda inside."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def l2_normalize(v: Column, eps: float = EPS) -> Column:
     """The vector over its length; a zero vector stays zero."""
-    return _let(F.greatest(norm(v), F.lit(eps)), lambda length: F.transform(doubles(v), lambda x: x / length))
+    return let(F.greatest(norm(v), F.lit(eps)), lambda length: F.transform(doubles(v), lambda x: x / length))
 
 
 def softmax(v: Column) -> Column:
@@ -61,10 +56,10 @@ def softmax(v: Column) -> Column:
 
     def over(powers: Column) -> Column:
         whole = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
-        return _let(whole, lambda w: F.transform(powers, lambda x: x / w))
+        return let(whole, lambda w: F.transform(powers, lambda x: x / w))
 
-    shifted = _let(F.array_max(doubles(v)), lambda top: F.transform(doubles(v), lambda x: F.exp(x - top)))
-    return F.when(F.size(v) > 0, _let(shifted, over))
+    shifted = let(F.array_max(doubles(v)), lambda top: F.transform(doubles(v), lambda x: F.exp(x - top)))
+    return F.when(F.size(v) > 0, let(shifted, over))
 
 
 def layer_norm(v: Column, gamma: Column | None = None, beta: Column | None = None, eps: float = EPS) -> Column:
@@ -73,9 +68,9 @@ def layer_norm(v: Column, gamma: Column | None = None, beta: Column | None = Non
 
     def over(centred: Column) -> Column:
         variance = F.aggregate(centred, F.lit(0.0), lambda s, x: s + x * x) / n
-        return _let(F.sqrt(variance + F.lit(eps)), lambda d: F.transform(centred, lambda x: x / d))
+        return let(F.sqrt(variance + F.lit(eps)), lambda d: F.transform(centred, lambda x: x / d))
 
-    out = _let(_let(total(v) / n, lambda mean: F.transform(doubles(v), lambda x: x - mean)), over)
+    out = let(let(total(v) / n, lambda mean: F.transform(doubles(v), lambda x: x - mean)), over)
     out = mul(out, gamma) if gamma is not None else out
     return F.when(n > 0, add(out, beta) if beta is not None else out)
 
