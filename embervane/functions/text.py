@@ -77,17 +77,21 @@ def _decompositions() -> tuple[str, str, dict[str, str], str]:
         elif plain:
             several[chr(code)] = plain
     gone = "".join(chr(c) for a, b in MARKS for c in range(a, b + 1))
-    codes = [ord(c) for c in several]
-    begins = [c for c in codes if c - 1 not in set(codes)]
-    ends = [c for c in codes if c + 1 not in set(codes)]
+    codes = {ord(c) for c in several}
+    begins, ends = sorted(c for c in codes if c - 1 not in codes), sorted(c for c in codes if c + 1 not in codes)
     spans = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(begins, ends))
     return "".join(kept) + gone, "".join(single), several, spans + r"\x{AC00}-\x{D7A3}"
 
 
+def _strings(values: list[str]) -> Column:
+    """A constant array from one literal."""
+    return F.split(F.lit("\x01".join(values)), "\x01")
+
+
 def _jamo(sign: Column) -> Column:
     """A Hangul syllable's two or three letters, by arithmetic on its code."""
     parts = [[chr(0x1100 + i) for i in range(19)], [chr(0x1161 + i) for i in range(21)], ["", *[chr(0x11A8 + i) for i in range(27)]]]
-    lead, vowel, tail = (F.array(*[F.lit(c) for c in p]) for p in parts)
+    lead, vowel, tail = map(_strings, parts)
     code = F.ascii(sign) - 0xAC00
     places = (F.floor(code / 588), F.floor(code % 588 / 28), code % 28)
     return F.concat(*[F.element_at(p, i.cast("int") + 1) for p, i in zip((lead, vowel, tail), places)])
@@ -99,7 +103,7 @@ def strip_accents(text: Column) -> Column:
     One-range tests come first: plain ASCII passes as it is, and the long class is tried only beyond the combining marks.
     """
     source, target, several, members = _decompositions()
-    known = F.map_from_arrays(F.array(*[F.lit(c) for c in several]), F.array(*[F.lit(c) for c in several.values()]))
+    known = F.map_from_arrays(_strings(list(several)), _strings(list(several.values())))
 
     def sign(c: Column) -> Column:
         return F.when((c >= "\uac00") & (c <= "\ud7a3"), _jamo(c)).otherwise(F.coalesce(F.try_element_at(known, c), c))
