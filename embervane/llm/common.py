@@ -5,8 +5,10 @@ Nothing here is text-model specific; every helper works on whole columns (Arrow
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step handles; temporaries are about 60 times as large. A longer
 #: document forms a step of its own.
-STEP_BYTES = 1_500_000
+STEP_BYTES = 400_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -39,6 +41,30 @@ def ensure_checkpoint_dir(session: SparkSession) -> None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="embervane-checkpoint-"))
 
 
+def small_batches(session: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of ``rows`` rows in this session unless it has a setting of its own: texts are large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if session.conf.get(name) == "10000":  # Spark's default
+        session.conf.set(name, rows)
+
+
+def lean(batches: Callable) -> Callable:
+    """A generator function that gives freed memory back when it ends, as Python workers live on between stages."""
+
+    @wraps(batches)
+    def run(*args):
+        try:
+            yield from batches(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library: nothing to trim
+                pass
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Avalanche finaliser on uint64 (in place)."""
     h ^= h >> np.uint64(33)
@@ -52,7 +78,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the hash base and of its inverse modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, STEP_BYTES + 65_536)
+        size = max(n, 2 * STEP_BYTES + 65_536)
         grown = []
         for base in (_BASE, _BASE_INV):
             p = np.full(size, base, np.uint64)

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean, small_batches
+
 _RUNS = re.compile(r"\s+")
 
 
@@ -34,6 +36,7 @@ def canonical(text: str) -> str:
 
 
 @F.arrow_udf(T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("canon", T.BinaryType())]))
+@lean
 def canonical_digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     digest = xxhash.xxh3_128_digest
     for texts in batches:
@@ -45,6 +48,7 @@ def canonical_digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, group_id, copies, keep), one row for each input row."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").alias("doc_id"), canonical_digest(F.col("text")).alias("f"))
     salt = F.coalesce(F.col("f.digest"), F.xxhash64("doc_id").cast("string").cast("binary"))  # null texts spread
     keyed = rows.select("doc_id", F.col("f.digest").alias("digest"), F.col("f.canon").alias("canon"), salt.alias("k"))

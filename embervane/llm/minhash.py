@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHash, buffers, cut, mix, steps, words
+from .common import SpanHash, buffers, cut, lean, mix, small_batches, steps, words
 from .components import components
 
 THRESHOLD = 0.5
@@ -86,6 +86,7 @@ def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 @F.arrow_udf(T.StructType([T.StructField("key", T.LongType()), T.StructField("sig", T.BinaryType())]))
+@lean
 def signature_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         data, offsets = buffers(texts)
@@ -108,6 +109,7 @@ def signature_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 @F.arrow_udf(T.LongType())
+@lean
 def key_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The key alone; the same as ``signature_udf`` gives."""
     for texts in batches:
@@ -125,6 +127,7 @@ def key_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 @F.arrow_udf(T.BinaryType())
+@lean
 def shingle_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Sorted distinct shingle hashes of each text."""
     for texts in batches:
@@ -203,6 +206,7 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key) of every row, and (key, root): the group of every node that is near another one."""
+    small_batches(docs.sparkSession)
     signed = docs.select("doc_id", signature_udf(F.lower(F.col("text"))).alias("s"))
     signed = cut(signed.select("doc_id", "s.key", "s.sig"))
     nodes = cut(signed.where("key is not null").groupBy("key").agg(F.first("sig").alias("sig")))

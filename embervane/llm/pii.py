@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHash, buffers, cut, steps, words
+from .common import SpanHash, buffers, cut, lean, small_batches, steps, words
 
 DISCLOSURE = 0.8
 Z = 3.0
@@ -106,6 +106,7 @@ def masked(text: str, found: list[tuple[int, int, str]]) -> str:
 @F.arrow_udf(
     T.StructType([T.StructField("rest", T.StringType()), T.StructField("class", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.LongType()))])
 )
+@lean
 def protected(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The text without its entities, their classes, and for each class a hash of the lowest value; null without entities."""
     kind = pa.struct([("rest", pa.string()), ("class", pa.list_(pa.int32())), ("value", pa.list_(pa.int64()))])
@@ -160,6 +161,7 @@ def term_counter(candidates: list[str]):
             total += np.bincount(pairs % len(wanted), minlength=len(wanted))
         return total
 
+    @lean
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(wanted), np.int64)
         for batch in batches:
@@ -253,6 +255,7 @@ def cleaner(docs: DataFrame, revealing: DataFrame):
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     @F.arrow_udf(_RESULT)
+    @lean
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = _replacer(shared.value)
         for texts in batches:
@@ -285,6 +288,7 @@ def _joined(docs: DataFrame, revealing: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, disclosure: float, broadcast_terms: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     revealing = revealing_terms(docs, disclosure, broadcast_terms=broadcast_terms)
     if revealing.count() > broadcast_terms:
         return _joined(docs, revealing)

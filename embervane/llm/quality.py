@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHash, buffers, mix, spaces, steps, words
+from .common import SpanHash, buffers, lean, mix, small_batches, spaces, steps, words
 
 BUCKET_BITS = 18
 DIM = 8
 NGRAMS = (3, 4, 5)
-MAX_TRAIN = 3000
+MAX_TRAIN = 2000
 HOLD_OUT = 4  # every 4th labelled document sets the threshold
 EPOCHS = 6
 MIN_STEPS = 200  # few documents are gone through more often
@@ -121,8 +121,9 @@ def fit(texts: list[str], good: np.ndarray, epochs: int = EPOCHS, rate: float =
         n = np.array([len(rows[i][0]) for i in own])
         by = np.argsort(bucket, kind="stable")
         distinct, begin = np.unique(bucket[by], return_index=True)
-        batches.append((own, bucket, share, np.cumsum(n) - n, np.repeat(np.arange(len(own)), n)[by], share[by], distinct, begin))
+        batches.append((own, bucket, share, np.cumsum(n) - n, np.repeat(np.arange(len(own), dtype=np.int32), n)[by], share[by], distinct, begin))
     epochs = max(epochs, -(-MIN_STEPS // max(1, len(batches))))
+    del rows
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for own, bucket, share, first, doc, by_share, distinct, begin in batches:
@@ -156,9 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 
 
 def scorer(docs: DataFrame, model: Model):
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.DoubleType())
+    @lean
     def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         for texts in batches:

@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHash, buffers, cut, list_array, mix, powers, steps, words
+from .common import SpanHash, buffers, cut, lean, list_array, mix, powers, small_batches, steps, words
 
 MIN_WORDS = 50
 PREFIX = 20
 LONG_WORD = 64
-RUN_BYTES = 64_000_000
+RUN_BYTES = 32_000_000
 _NO_DOC = (1 << 63) - 1
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -84,6 +84,7 @@ _ANCHORS = T.StructType(
 
 def anchor_udf(min_words: int, prefix: int):
     @F.arrow_udf(_ANCHORS)
+    @lean
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             data, offsets = buffers(texts)
@@ -201,6 +202,7 @@ def _word(w: bytes) -> bytes:
     return w if len(w) <= LONG_WORD else b"\x02" + xxhash.xxh3_128_hexdigest(w).encode()
 
 
+@lean
 def runs_of(batches: Iterator[pa.RecordBatch], splits: np.ndarray, min_words: int, prefix: int) -> Iterator[pa.RecordBatch]:
     """Front-coded sorted runs, one for each key range, of the suffixes at the given anchors."""
     left_words = min_words - prefix
@@ -319,6 +321,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int =
     if not 1 <= prefix < min_words:
         raise ValueError("prefix must be at least 1 and less than min_words")
     session = docs.sparkSession
+    small_batches(session)
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     rows = texts.select("doc_id", "key", anchor_udf(min_words, prefix)(F.col("text")).alias("a"))
     rows = cut(rows.select("doc_id", "key", "a.n", "a.h", "a.at", "a.lead").where(F.col("n") >= min_words))

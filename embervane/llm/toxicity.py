@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean, small_batches
+
 WINDOW = 56
 PRIOR = 3
 BASE_BYTES = 16_384
@@ -165,9 +167,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dic
 
 def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """(doc_id, toxic_score, toxic) of every document; the score is relative to its language's threshold, 1 is toxic."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_train))
 
     @F.arrow_udf(T.DoubleType())
+    @lean
     def relative(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         models = shared.value
         scorers = {lang: (m.scorer(), m.threshold) for lang, m in models.items()}
