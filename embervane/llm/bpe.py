@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHash, buffers, list_array, mix, steps
+from .common import SpanHash, buffers, lean, list_array, mix, small_batches, steps
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-MEMO = 300_000
+MEMO = 150_000
+PAIRS = 400_000
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -239,7 +240,7 @@ class Codec:
         key = a << 32 | b
         rank = self.pairs.get(key)
         if rank is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             rank = self.pairs[key] = self.ranks.get(self.by_id[a] + self.by_id[b], -1)
         return rank
@@ -296,6 +297,7 @@ class Codec:
 
 def shared(df: DataFrame, path: str):
     """Broadcast codec of the rank file; each worker unpacks it once and keeps it with its memo."""
+    small_batches(df.sparkSession)
     return df.sparkSession.sparkContext.broadcast(Codec(read_ranks(path)))
 
 
@@ -304,6 +306,7 @@ def encoder(df: DataFrame, path: str = VOCABULARY):
     table = shared(df, path)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    @lean
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = table.value
         for texts in batches:
@@ -324,6 +327,7 @@ def decoder(df: DataFrame, path: str = VOCABULARY):
     table = shared(df, path)
 
     @F.arrow_udf(T.StringType())
+    @lean
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = table.value
         for lists in batches:
