@@ -4,15 +4,17 @@
    with numpy over Arrow buffers and 120 MinHash values of 16 bits are kept. Texts with the same words collapse to one node
    here, so exact copies, however many, cost nothing later.
 2. 40 bands of 3 values give candidates (a pair of similarity 0.5 is missed with probability 0.005). In a bucket every node
-   meets the lowest one and its 8 predecessors, which is every pair of a bucket of up to 9; in larger buckets further
-   rounds compare representatives of the components that are still apart, until no new pair appears.
+   meets the lowest one and its 8 predecessors, which is every pair of a bucket of up to 9. Larger buckets are then cut
+   into equal block tiles in which all pairs meet, but those that are in one component by then.
 3. Candidates compare their signatures batch by batch; under a uniform prior the posterior of the similarity is a Beta, and
    a pair is dropped as soon as the probability that it reaches the threshold falls under ``miss``.
 4. Survivors are verified exactly on their shingle sets.
 5. Verified pairs are joined to groups by connected components; the lowest doc_id of each stays.
 
 Scale: shuffles carry signatures (240 bytes a distinct text) and band hashes (16 bytes each); text is shuffled only to verify
-survivors. Nothing is broadcast or collected but fixed tables and counters.
+survivors. Nothing is broadcast or collected but fixed tables and counters. The work on a crowded bucket grows with the square
+of its nodes, unless they are one component: tiles of ``TILE`` nodes a side are independent and of equal size, and shingle
+sets go to the tiles that need them, not to each pair.
 
 Defined results: null texts and texts without words join no group and are kept; texts of one or two words have a single
 shingle; repeated rows are copies (one is kept); a null doc_id sorts last within its group; further columns are ignored; an
@@ -38,7 +40,10 @@ SHINGLE = 3
 BANDS, ROWS = 40, 3
 HASHES = BANDS * ROWS
 BATCH = 8
+_TILE = ["bucket", "tile_a", "tile_b"]
+_ARROW_TILE = {"bucket": pa.int64(), "tile_a": pa.int32(), "tile_b": pa.int32()}
 NEIGHBOURS = 8
+TILE = 512
 _MULTIPLIERS = np.random.default_rng(20240607).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _WORDLESS = (np.arange(128) < 48) | ((np.arange(128) > 57) & (np.arange(128) < 97)) | (np.arange(128) > 122)
@@ -143,14 +148,17 @@ def shingle_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def jaccard(left: pa.Array, right: pa.Array) -> pa.Array:
     out = np.zeros(len(left))
     for i, (a, b) in enumerate(zip(left, right)):
-        x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-        both = np.concatenate([x, y])
-        both.sort()
-        shared = int((both[1:] == both[:-1]).sum())
-        out[i] = shared / (len(both) - shared)
+        out[i] = similarity(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64))
     return pa.array(out)
 
 
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared)
+
+
 def least_matches(threshold: float, miss: float, batch: int = BATCH, hashes: int = HASHES) -> np.ndarray:
     """For n = batch, 2 batch, ...: the fewest matches m with P(similarity >= threshold | m of n) >= miss, prior uniform."""
     grid = (np.arange(20_000) + 0.5) / 20_000
@@ -184,6 +192,45 @@ def survivors_udf(threshold: float, miss: float):
     return survives
 
 
+def tile_pairs(table: pa.Table, least: np.ndarray) -> pa.Table:
+    """The pairs of one tile that are in different components and pass the sequential test, a < b."""
+    where = {k: table[k][0].as_py() for k in _TILE}
+    block, key, root = (table[k].to_numpy() for k in ("block", "key", "root"))
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(key), HASHES)
+    first = np.flatnonzero(block == where["tile_a"])
+    second = first if where["tile_b"] == where["tile_a"] else np.flatnonzero(block == where["tile_b"])
+    i, j = np.nonzero(root[first][:, None] != root[second])
+    i, j = first[i], second[j]
+    if first is second:
+        i, j = i[i < j], j[i < j]
+    matches = np.zeros(len(i), np.int64)
+    for k, m in enumerate(least):
+        part = sig[:, k * BATCH : (k + 1) * BATCH]
+        matches += (part[i] == part[j]).sum(1)
+        alive = matches >= m
+        i, j, matches = i[alive], j[alive], matches[alive]
+    a, b = np.minimum(key[i], key[j]), np.maximum(key[i], key[j])
+    return pa.table({**{k: pa.array(np.full(len(a), x), _ARROW_TILE[k]) for k, x in where.items()}, "a": a, "b": b})
+
+
+def crowded_pairs(nodes: DataFrame, large: DataFrame, found: DataFrame, threshold: float, miss: float, tile: int = TILE) -> DataFrame:
+    """(bucket, tile_a, tile_b, a, b): all pairs of crowded buckets between components that pass the sequential test."""
+    least = least_matches(threshold, miss)
+    whole = Window.partitionBy("bucket")
+    rooted = large.join(found.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+    mixed = rooted.select("*", F.min("root").over(whole).alias("low"), F.max("root").over(whole).alias("high"), F.count(F.lit(1)).over(whole).alias("n"))
+    blocks = F.ceil(F.col("n") / tile).cast("int")
+    blocked = mixed.where("low < high").select("bucket", "key", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("key", "bucket"), blocks).cast("int").alias("block"))
+    placed = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("block", "other").alias("tile_a"), F.greatest("block", "other").alias("tile_b"), "block", "key", "root"
+    )
+
+    def solve(table: pa.Table) -> pa.Table:
+        return tile_pairs(table, least)
+
+    return placed.join(nodes, "key").groupBy(*_TILE).applyInArrow(solve, "bucket long, tile_a int, tile_b int, a long, b long")
+
+
 def bands(nodes: DataFrame) -> DataFrame:
     """(bucket, key): one row for each node and band."""
     piece: Column = F.expr(f"substring(sig, b * {2 * ROWS} + 1, {2 * ROWS})")
@@ -212,20 +259,17 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MIS
     nodes = cut(signed.where("key is not null").groupBy("key").agg(F.first("sig").alias("sig")))
     tested = cut(bucket_pairs(bands(nodes)))
     edges = verified(docs, nodes, tested, threshold, miss)
-    # buckets over the all-pairs size: go on between components until nothing new is met
-    crowded = bands(nodes).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NEIGHBOURS + 1).select("bucket")
-    large = cut(bands(nodes).join(crowded, "bucket", "left_semi"))
-    while True:
-        found = components(edges)
-        if not large.isEmpty():
-            roots = large.join(found, large["key"] == found["node"], "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-            standing = roots.groupBy("bucket", "root").agg(F.min("key").alias("key")).select("bucket", "key")
-            new = cut(bucket_pairs(standing).join(tested, ["a", "b"], "left_anti"))
-            if not new.isEmpty():
-                tested = tested.union(new)
-                edges = edges.union(verified(docs, nodes, new, threshold, miss))
-                continue
-        return signed.select("doc_id", "key"), found.select(F.col("node").alias("key"), "root")
+    found = components(edges)
+    # buckets over the all-pairs size: every pair that isn't in one component yet
+    sized = bands(nodes).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
+    large = cut(sized.where(F.col("n") > NEIGHBOURS + 1).select("bucket", "key"))
+    if not large.isEmpty():
+        met = cut(crowded_pairs(nodes, large, found, threshold, miss))
+        new = cut(met.groupBy("a", "b").agg(F.min(F.struct(*_TILE)).alias("t")).select("t.*", "a", "b").join(tested, ["a", "b"], "left_anti"))
+        more = verified_tiles(docs, new, threshold)
+        if not more.isEmpty():
+            found = components(edges.union(more))
+    return signed.select("doc_id", "key"), found.select(F.col("node").alias("key"), "root")
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -236,16 +280,37 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: flo
     alive = cut(alive)
     if alive.isEmpty():
         return alive.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    wanted = alive.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    low = F.lower(F.col("text"))
-    texts = docs.select(key_udf(low).alias("key"), low.alias("low")).where("key is not null").join(wanted, "key", "left_semi")
-    sets = texts.groupBy("key").agg(F.first("low").alias("low")).select("key", shingle_set(F.col("low")).alias("s"))
+    sets = shingle_sets(docs, alive)
     x = sets.select(F.col("key").alias("a"), F.col("s").alias("sa"))
     y = sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
     exact = alive.join(x, "a").join(y, "b").where(jaccard(F.col("sa"), F.col("sb")) >= threshold)
     return cut(exact.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
+def shingle_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, s): the shingle set of every node of ``pairs`` (a, b)."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    low = F.lower(F.col("text"))
+    texts = docs.select(key_udf(low).alias("key"), low.alias("low")).where("key is not null").join(wanted, "key", "left_semi")
+    return texts.groupBy("key").agg(F.first("low").alias("low")).select("key", shingle_set(F.col("low")).alias("s"))
+
+
+def verified_tiles(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): the pairs that pass the exact test; a set goes once to each tile that holds pairs of it."""
+    if pairs.isEmpty():
+        return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    sides = [F.col(c).alias(f"of_{c}") for c in _TILE]
+    placed = pairs.select(*sides, F.explode(F.array("a", "b")).alias("key")).distinct().join(shingle_sets(docs, pairs), "key")
+
+    def solve(own: pa.Table, sets: pa.Table) -> pa.Table:
+        known = {k: np.frombuffer(s, np.uint64) for k, s in zip(sets["key"].to_pylist(), sets["s"].to_pylist())}
+        a, b = own["a"].to_pylist(), own["b"].to_pylist()
+        near = pa.array([similarity(known[x], known[y]) >= threshold for x, y in zip(a, b)], pa.bool_())
+        return pa.table({"u": own["a"].filter(near), "v": own["b"].filter(near)})
+
+    return cut(pairs.groupBy(*_TILE).cogroup(placed.groupBy(*[f"of_{c}" for c in _TILE])).applyInArrow(solve, "u long, v long").distinct())
+
+
 def duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """(doc_id, duplicate_of, group_size): a row for each document that goes, with the one that stays in its place."""
     ids, found = near_groups(docs, threshold, miss)

@@ -444,3 +444,34 @@ def test_signatures_estimate_similarity():
     sets = shingle_sets(texts)
     for a, b in ((0, 1), (0, 2)):
         assert abs((sig[a] == sig[b]).mean() - len(sets[a] & sets[b]) / len(sets[a] | sets[b])) < 0.15
+
+
+def test_minhash_crowded_buckets(spark):
+    """Near pairs in a crowd of texts that share a passage but are no near copies: their buckets hold hundreds of nodes."""
+    rng = random.Random(11)
+
+    def fresh(n):
+        return [f"w{rng.getrandbits(48):x}" for _ in range(n)]
+
+    passage = fresh(188)
+    crowd = [passage + fresh(112) for _ in range(500)]
+    for k in range(0, 80, 2):  # a pair has 22 words more in common: similarity 0.52 instead of 0.44
+        crowd[k + 1][188:210] = crowd[k][188:210]
+    order = list(range(500))
+    rng.shuffle(order)
+    texts = {order[k]: " ".join(w) for k, w in enumerate(crowd)}
+    shingled = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in crowd]
+    near = {(i, j) for i, j in itertools.combinations(range(500), 2) if 2 * len(shingled[i] & shingled[j]) >= len(shingled[i] | shingled[j])}
+    assert near == {(k, k + 1) for k in range(0, 80, 2)}
+    _, sig, _ = minhash.signatures(*buffers(pa.array([texts[order[k]] for k in range(80)])))
+    cells = sig.reshape(80, minhash.BANDS, minhash.ROWS)
+    # what shares a bucket and passes the sequential test, pair by pair
+    least = minhash.least_matches(0.5, 0.005)
+    met = set()
+    for k in range(0, 80, 2):
+        same = np.cumsum(sig[k] == sig[k + 1])[minhash.BATCH - 1 :: minhash.BATCH]
+        if (cells[k] == cells[k + 1]).all(1).any() and (same >= least).all():
+            met.add((max(order[k], order[k + 1]), min(order[k], order[k + 1])))
+    assert len(met) >= 38
+    got = {(r.doc_id, r.duplicate_of) for r in minhash.duplicates(frame(spark, texts)).collect()}
+    assert got == met
