@@ -61,7 +61,7 @@ PATTERNS: dict[str, str] = {
 CLASSES = list(PATTERNS)
 _ANY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
 #: No pattern matches without one of these signs or crosses a line: other texts and lines aren't searched.
-_HINT = r"[0-9@=:]"
+_HINT = r"[0-9@=:]|AKIA|ASIA"
 _HINTED = re.compile(_HINT)
 #: Terms are runs of ASCII letters and of anything beyond ASCII.
 _WORD = re.compile("[A-Za-z\u0080-\U0010ffff]+")

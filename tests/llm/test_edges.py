@@ -139,3 +139,12 @@ def test_minhash(docs, empty):
     kept = minhash.near_dedup(docs)
     assert kept.columns == docs.columns and kept.count() == len(ROWS) - 1
     assert minhash.near_dedup(empty).count() == 0 and minhash.duplicates(empty).count() == 0
+
+
+def test_pii_key_without_digits(spark):
+    """A key of capitals alone, on a line without a digit, @, = or :."""
+    key = "AKIA" + "QWERTYUIOPASDFGH"
+    text = f"first line\nthe key {key} was lost\nlast line"
+    assert pii.entities(text) == [(text.index(key), text.index(key) + 20, "SECRET")]
+    out = pii.report(spark.createDataFrame([(1, text), (2, "nothing here")], "doc_id long, text string"))
+    assert {r.doc_id: (r.text, r.n_entities) for r in out.collect()} == {1: (text.replace(key, "[SECRET]"), 1), 2: ("nothing here", 0)}
