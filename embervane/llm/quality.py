@@ -33,7 +33,7 @@ from .common import SpanHash, buffers, lean, mix, small_batches, spaces, steps,
 BUCKET_BITS = 18
 DIM = 8
 NGRAMS = (3, 4, 5)
-MAX_TRAIN = 2000
+MAX_TRAIN = 3000
 HOLD_OUT = 4  # every 4th labelled document sets the threshold
 EPOCHS = 6
 MIN_STEPS = 200  # few documents are gone through more often

@@ -475,3 +475,12 @@ def test_minhash_crowded_buckets(spark):
     assert len(met) >= 38
     got = {(r.doc_id, r.duplicate_of) for r in minhash.duplicates(frame(spark, texts)).collect()}
     assert got == met
+
+
+def test_quality_reads_three_thousand_labels(spark, monkeypatch):
+    docs = frame(spark, [f"text {i}" for i in range(3100)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3100)], "doc_id long, quality long")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, good: seen.append(len(texts)))
+    quality.train(docs, labels)
+    assert seen == [3000]
