@@ -12,6 +12,7 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step handles; temporaries are about 60 times as large. A longer
@@ -35,19 +36,34 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(session: SparkSession) -> None:
+    """On a cluster the setting has to be there: a folder of the driver's machine would be no shared one."""
     context = session.sparkContext
     if context.getCheckpointDir() is None:
         named = session.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="embervane-checkpoint-"))
 
 
 def small_batches(session: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of ``rows`` rows in this session unless it has a setting of its own: texts are large rows."""
+    """Arrow batches of ``rows`` rows in this session, as texts are large rows; a setting of the session's own stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if session.conf.get(name) == "10000":  # Spark's default
+    if name not in session.conf.getAll and session.sparkContext.getConf().get(name) is None:
         session.conf.set(name, rows)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, one for each of ``names``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        own = f"__{name}"
+        while own.lower() in taken:
+            own += "_"
+        taken.add(own.lower())
+        out.append(own)
+    return out
+
+
 def lean(batches: Callable) -> Callable:
     """A generator function that gives freed memory back when it ends, as Python workers live on between stages."""
 
@@ -91,10 +107,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+#: A polynomial modulo 2**64 has known collisions between spans of 1,024 bytes and more; past this length XXH3 is used.
+LONG_SPAN = 128
+
+
 class SpanHash:
-    """Polynomial hashes of arbitrary spans of a byte buffer in O(1) each."""
+    """Hashes of arbitrary spans of a byte buffer: polynomials in O(1) each, XXH3 for the few that are long."""
 
     def __init__(self, data: np.ndarray):
+        self.data = data
         self.up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.multiply(self.up[: len(data)], data, out=self.sums[1:], casting="unsafe")
@@ -102,7 +123,12 @@ class SpanHash:
         np.cumsum(self.sums[1:], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+        h = mix((self.sums[end] - self.sums[start]) * self.down[start])
+        long = np.flatnonzero(end - start > LONG_SPAN)
+        if len(long):
+            raw = memoryview(np.ascontiguousarray(self.data))
+            h[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist())]
+        return h
 
     def sliding(self, n: int) -> np.ndarray:
         """Unmixed hashes of all spans of ``n`` bytes, by start."""
@@ -165,6 +191,18 @@ def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray | None = None
     return start, end, np.searchsorted(start, offsets)
 
 
+def equal_spans(data: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of ``size`` bytes at ``x`` and at ``y`` are equal; ``data`` has 8 bytes to spare at its end."""
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    same, rest, left = np.ones(len(x), bool), np.arange(len(x)), size
+    while len(rest):
+        spare = np.uint64(8) * (np.uint64(8) - np.minimum(left, 8).astype(np.uint64))
+        same[rest] &= ((eight[x] ^ eight[y]) << spare) == 0
+        go = (left > 8) & same[rest]
+        x, y, left, rest = x[go] + 8, y[go] + 8, left[go] - 8, rest[go]
+    return same
+
+
 def list_array(values: pa.Array, ends: np.ndarray, valid: np.ndarray | None = None) -> pa.ListArray:
     """Arrow list column from flat values and row boundaries (len rows + 1)."""
     offsets = pa.array(ends.astype(np.int32))
