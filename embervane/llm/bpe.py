@@ -4,15 +4,16 @@ Texts are cut into pre-tokens (contractions, an optional blank with letters, dig
 passes over the UTF-8 bytes of an Arrow column. Every pre-token's hash is looked up in a minimal perfect hash of the
 vocabulary (hash and displace: one displacement for each bucket, exactly one slot for each entry) and a hit is confirmed
 by its bytes. Pre-tokens that are no entry are merged by a heap of adjacent pairs over a linked list of bytes; each
-distinct one is merged once for each worker while it stays in a bounded memo.
+distinct one of a step is merged once, and once for each worker while it stays in a bounded memo. Equal hashes only propose: bytes decide.
 
 The vocabulary is a public rank file (base64 token and rank a line); its path is a parameter and only the driver reads it.
 
 Scale: narrow, no shuffle; the tables (about 2 MB) are broadcast and don't depend on the corpus. A pre-token of any length is
 merged in O(n log n).
 
-Defined results: null text gives null ids and null text again, empty text empty ids; ids unknown to the vocabulary and null
-ids are an error when decoded; byte sequences that are no UTF-8 decode with replacement signs; other columns are untouched.
+Defined results: null text gives null ids and null text again, empty text empty ids; a text of any length is encoded whole, in a step of
+its own; repeated rows have the same ids, and pairs of equal rank merge from the left; ids unknown to the vocabulary and null ids are an error
+when decoded; byte sequences that are no UTF-8 decode with replacement signs; other columns are untouched; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHash, buffers, lean, list_array, mix, small_batches, steps
+from .common import SpanHash, buffers, equal_spans, lean, list_array, mix, small_batches, steps
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MEMO = 150_000
@@ -258,7 +259,7 @@ class Codec:
         miss = np.flatnonzero(entry < 0)
         count = np.ones(len(start), np.int64)
         if len(miss):
-            _, one, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            one, which = self._distinct(data, start[miss], end[miss], h[miss])
             raw, memo, merged = data.tobytes(), self.memo, []
             for s, e in zip(start[miss[one]].tolist(), end[miss[one]].tolist()):
                 piece = raw[s:e]
@@ -283,6 +284,26 @@ class Codec:
             out[np.repeat(ends[miss], own) + inside] = flat[np.repeat((np.cumsum(sizes) - sizes)[which], own) + inside]
         return out, ends[first]
 
+    @staticmethod
+    def _distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of one span of each group, group of each span): spans of equal hashes are one group if their bytes are equal."""
+        _, one, which = np.unique(h, return_index=True, return_inverse=True)
+        first, size = one[which], end - start
+        same = size[first] == size
+        same[same] = equal_spans(data, start[first[same]], start[same], size[same])
+        odd = np.flatnonzero(~same)  # a collision: told apart by their bytes
+        if len(odd):
+            known: dict[tuple[int, bytes], int] = {}
+            extra: list[int] = []
+            for i in odd.tolist():
+                key = int(h[i]), data[start[i] : end[i]].tobytes()
+                if key not in known:
+                    known[key] = len(one) + len(extra)
+                    extra.append(i)
+                which[i] = known[key]
+            one = np.append(one, extra)
+        return one, which
+
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, row boundaries)."""
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.place) or (self.place[ids] < 0).any()):
