@@ -8,20 +8,21 @@ term ``t`` reveals a protected class ``c`` by the share of c's information that
 
 which is 1 if every document with t has c. The probabilities are corpus co-occurrence counts over all documents. As a
 plug-in estimate would condemn every rare word of a document with an entity, p(c | t) is the lower Wilson bound at
-``Z`` deviations, and its successes are distinct entity values rather than documents, so copies of one document are one
-observation. Terms at or over ``DISCLOSURE`` are sanitised in documents that hold the class: generalised to ``[SECRET TERM]``
+``Z`` deviations, and its successes are distinct sets of entity values rather than documents, so copies of one document are one
+observation, and documents that share one value among others are several. Terms at or over ``DISCLOSURE`` are sanitised in documents that hold the class: generalised to ``[SECRET TERM]``
 if they reveal one class, removed if they reveal several. Documents without a protected entity have
 nothing to protect and stay byte for byte.
 
 Scale: one pass counts (term, class, value) in the few documents with entities; a second counts the candidate terms in all
 documents, against a broadcast only while there are at most ``BROADCAST_TERMS`` candidates, else by a full term count and a
-join. Shuffles carry partial counts. The terms to sanitise go to the executors as a table; a candidate needs
+join with the same result. Shuffles carry partial counts. The terms to sanitise go to the executors as a table; a candidate needs
 ``MIN_VALUES`` distinct protected values and a high bound, so it stays a small part of the vocabulary, and its
 size is checked: past ``BROADCAST_TERMS`` they are joined to the documents' own terms instead.
 
 Defined results: null text stays null, empty text stays empty; a null doc_id and repeated rows are treated like any row (counts
-are over rows); entities that overlap count once, the leftmost and longest-listed class first; without entities nothing changes;
-other columns pass unchanged; an empty table gives an empty table.
+are over rows); entities that overlap count once, the leftmost and longest-listed class first; a term exactly at the threshold is
+sanitised; texts of any length are searched whole; without entities nothing changes; other columns pass unchanged, whatever they are
+called; an empty table gives an empty table. Upper and lower case are told apart in one place only (``low``).
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHash, buffers, cut, lean, small_batches, steps, words
+from .common import SpanHash, buffers, cut, equal_spans, fresh, lean, small_batches, steps, words
 
 DISCLOSURE = 0.8
 Z = 3.0
@@ -60,9 +61,10 @@ PATTERNS: dict[str, str] = {
 }
 CLASSES = list(PATTERNS)
 _ANY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
-#: No pattern matches without one of these signs or crosses a line: other texts and lines aren't searched.
-_HINT = r"[0-9@=:]|AKIA|ASIA"
-_HINTED = re.compile(_HINT)
+#: No pattern matches without one of these signs or crosses a line: other texts and lines aren't searched. Digits are those of any script.
+_HINTED = re.compile(r"[\d@=:]|AKIA|ASIA")
+_HINT, _BEYOND = r"[0-9@=:]|AKIA|ASIA", r"[^\x00-\x7F]"
+_DIGIT = r"[\p{Nd}\x{11F50}-\x{11F59}\x{1E4F0}-\x{1E4F9}]"  # with those that a JVM may be too old to know
 #: Terms are runs of ASCII letters and of anything beyond ASCII.
 _WORD = re.compile("[A-Za-z\u0080-\U0010ffff]+")
 _BLANK = np.array([not (chr(b).isalpha() or b > 127) for b in range(256)])
@@ -108,27 +110,39 @@ def masked(text: str, found: list[tuple[int, int, str]]) -> str:
 )
 @lean
 def protected(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """The text without its entities, their classes, and for each class a hash of the lowest value; null without entities."""
+    """The text without its entities in lower case, their classes, and for each class a hash of its set of values; null without entities."""
     kind = pa.struct([("rest", pa.string()), ("class", pa.list_(pa.int32())), ("value", pa.list_(pa.int64()))])
     for texts in batches:
         out = []
         for text in texts.to_pylist():
             found = entities(text) if text else []
-            least: dict[int, str] = {}
+            sets: dict[int, set[str]] = {}
             for start, end, name in found:
-                c, value = CLASSES.index(name), text[start:end]
-                least[c] = min(value, least.get(c, value))
-            values = [xxhash.xxh64_intdigest(v) - (1 << 63) for v in least.values()]
-            out.append({"rest": masked(text, found), "class": list(least), "value": values} if found else None)
+                sets.setdefault(CLASSES.index(name), set()).add(text[start:end])
+            values = [xxhash.xxh64_intdigest("\n".join(sorted(v))) - (1 << 63) for v in sets.values()]  # no value crosses a line
+            out.append({"rest": low(masked(text, found)), "class": list(sets), "value": values} if found else None)
         yield pa.array(out, kind)
 
 
 def hinted(text: Column) -> Column:
-    return F.when(text.rlike(_HINT), text)
+    return F.when(text.rlike(_HINT) | (text.rlike(_BEYOND) & text.rlike(_DIGIT)), text)
+
+
+def low(text: str) -> str:
+    """Lower case that doesn't depend on what surrounds a word."""
+    return text.lower().replace("\u03c2", "\u03c3")
+
+
+@F.arrow_udf(T.StringType())
+@lean
+def lowered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield pa.array([None if t is None else low(t) for t in texts.to_pylist()], pa.string())
 
 
 def terms(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[\x00-@\[-`{-\x7f]+"), lambda w: w != ""))
+    """Distinct terms of a text in lower case."""
+    return F.array_distinct(F.filter(F.split(text, r"[\x00-@\[-`{-\x7f]+"), lambda w: w != ""))
 
 
 def wilson(hits: Column, n: Column, z: float = Z) -> Column:
@@ -137,47 +151,50 @@ def wilson(hits: Column, n: Column, z: float = Z) -> Column:
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def term_counter(candidates: list[str]):
-    """mapInArrow function over (low, hinted): in how many documents each candidate occurs, entities masked, by batch.
+def term_counter(shared):
+    """mapInArrow function over (text, hinted): in how many documents each candidate occurs, entities masked, by task.
 
-    Words are hashed over the Arrow buffer and looked up among the candidates' hashes; no word becomes a Python string.
+    Words are hashed over the Arrow buffer, looked up among the candidates' hashes and confirmed by their bytes; no word becomes
+    a Python string. ``shared`` is a broadcast of the candidates.
     """
-    data, offsets = buffers(pa.array(candidates, pa.string()))
-    wanted = SpanHash(data).of(offsets[:-1], offsets[1:])
-    order = np.argsort(wanted)
-    wanted = wanted[order]
-
-    def count(texts: pa.Array) -> np.ndarray:
-        data, offsets = buffers(texts)
-        total = np.zeros(len(wanted), np.int64)
-        for a, b in steps(offsets):
-            own = data[offsets[a] : offsets[b]]
-            start, end, first = words(own, offsets[a : b + 1] - offsets[a], _BLANK[own])
-            h = SpanHash(own).of(start, end)
-            at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-            hit = np.flatnonzero(wanted[at] == h)
-            row = np.searchsorted(first, hit, side="right") - 1
-            pairs = np.unique(row * len(wanted) + at[hit])
-            total += np.bincount(pairs % len(wanted), minlength=len(wanted))
-        return total
+
+    class Counter:
+        def __init__(self, candidates: list[str]):
+            self.data, self.offsets = buffers(pa.array(candidates, pa.string()))
+            wanted = SpanHash(self.data).of(self.offsets[:-1], self.offsets[1:])
+            self.order = np.argsort(wanted)
+            self.wanted = wanted[self.order]
+            self.size = np.diff(self.offsets)[self.order]
+            self.total = np.zeros(len(wanted), np.int64)
+
+        def add(self, texts: pa.Array) -> None:
+            data, offsets = buffers(texts)
+            n = len(self.wanted)
+            for a, b in steps(offsets):
+                own = data[offsets[a] : offsets[b]]
+                start, end, first = words(own, offsets[a : b + 1] - offsets[a], _BLANK[own])
+                h = SpanHash(own).of(start, end)
+                at = np.minimum(np.searchsorted(self.wanted, h), n - 1)
+                hit = np.flatnonzero((self.wanted[at] == h) & (self.size[at] == end - start))
+                both = np.concatenate([own, self.data, np.zeros(8, np.uint8)])
+                hit = hit[equal_spans(both, start[hit], len(own) + self.offsets[self.order[at[hit]]], end[hit] - start[hit])]
+                row = np.searchsorted(first, hit, side="right") - 1
+                pairs = np.unique(row * n + at[hit])
+                self.total += np.bincount(pairs % n, minlength=n)
 
     @lean
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(wanted), np.int64)
+        candidates = shared.value
+        counter = Counter(candidates)
         for batch in batches:
-            low = batch["low"]
-            some = np.flatnonzero(batch["hinted"].is_valid().to_numpy(zero_copy_only=False))
-            found = {}
-            for i in some.tolist():
-                text = batch["hinted"][i].as_py()
-                if spans := entities(text):
-                    found[i] = masked(text, spans).lower()
-            plain = np.ones(len(low), bool)
-            plain[list(found)] = False
-            total += count(low.filter(pa.array(plain)))
-            total += count(pa.array(list(found.values()), pa.string()))
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"term": [candidates[order[i]] for i in hit], "n": pa.array(total[hit])}, schema=pa.schema([("term", pa.string()), ("n", pa.int64())]))
+            texts = batch["text"].to_pylist()
+            for i, text in enumerate(batch["hinted"].to_pylist()):
+                if text is not None and (spans := entities(text)):
+                    texts[i] = masked(text, spans)
+            counter.add(pa.array([low(t) for t in texts], pa.large_string()))
+        hit = np.flatnonzero(counter.total)
+        names = [candidates[i] for i in counter.order[hit].tolist()]
+        yield pa.RecordBatch.from_pydict({"term": names, "n": pa.array(counter.total[hit])}, schema=pa.schema([("term", pa.string()), ("n", pa.int64())]))
 
     return counted
 
@@ -206,11 +223,12 @@ def revealing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, min_values:
     if not names:
         return candidates.select("term", "class", F.lit(1.0).alias("disclosure"))
     if len(names) <= broadcast_terms:
-        lower = texts.select(F.lower("text").alias("low"), hinted(F.col("text")).alias("hinted"))
-        counts = lower.mapInArrow(term_counter(names), "term string, n long").groupBy("term").agg(F.sum("n").alias("documents"))
+        shared = docs.sparkSession.sparkContext.broadcast(names)
+        counts = texts.select("text", hinted(F.col("text")).alias("hinted")).mapInArrow(term_counter(shared), "term string, n long")
+        counts = counts.groupBy("term").agg(F.sum("n").alias("documents"))
     else:
         whole = texts.select("text", protected(hinted(F.col("text"))).alias("p"))
-        every = whole.select(F.explode(terms(F.coalesce("p.rest", "text"))).alias("term"))
+        every = whole.select(F.explode(terms(F.coalesce("p.rest", lowered(F.col("text"))))).alias("term"))
         counts = every.groupBy("term").agg(F.count(F.lit(1)).alias("documents")).join(wanted, "term", "left_semi")
     low = wilson(F.col("values"), (F.col("values") + F.col("documents") - F.col("together")).cast("double"))
     scored = candidates.join(counts, "term").select("term", "class", (1 - F.log(low) / F.log(p)).alias("disclosure"))
@@ -227,7 +245,7 @@ def _replacer(revealing: dict[str, tuple[int, ...]]):
 
         def term(m: re.Match) -> str:
             nonlocal hidden
-            classes = held.intersection(revealing.get(m[0].lower(), ()))
+            classes = held.intersection(revealing.get(low(m[0]), ()))
             if not classes:
                 return m[0]
             hidden += 1
@@ -265,48 +283,50 @@ def cleaner(docs: DataFrame, revealing: DataFrame):
     return clean
 
 
-def _joined(docs: DataFrame, revealing: DataFrame) -> DataFrame:
-    """``docs`` with ``__ev_clean``, where the terms are too many to broadcast: each document's own are joined to it."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__ev_doc"), F.monotonically_increasing_id().alias("__ev_row"))
-    p = protected(hinted(F.col("__ev_doc.text")))
-    own = rows.select("*", F.explode_outer(terms(F.when(p.isNotNull(), F.col("__ev_doc.text")))).alias("term"))
+def _joined(docs: DataFrame, revealing: DataFrame, out: str) -> DataFrame:
+    """``docs`` with column ``out``, where the terms are too many to broadcast: each document's own are joined to it."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    p = protected(hinted(F.col("doc.text")))
+    own = rows.select("*", F.explode_outer(terms(F.when(p.isNotNull(), lowered(F.col("doc.text"))))).alias("term"))
     known = revealing.groupBy("term").agg(F.collect_set("class").alias("classes"))
-    back = own.join(known, "term", "left").groupBy("__ev_row").agg(
-        F.first("__ev_doc").alias("__ev_doc"), F.collect_list(F.when(F.col("classes").isNotNull(), F.struct("term", "classes"))).alias("known")
+    back = own.join(known, "term", "left").groupBy("row").agg(
+        F.first("doc").alias("doc"), F.collect_list(F.when(F.col("classes").isNotNull(), F.struct("term", "classes"))).alias("known")
     )
 
     @F.arrow_udf(_RESULT)
     def clean(texts: pa.Array, known: pa.Array) -> pa.Array:
-        out = []
+        done = []
         for text, mine in zip(texts.to_pylist(), known.to_pylist()):
             t, e, h = _replacer({x["term"]: tuple(x["classes"]) for x in mine})(text)
-            out.append({"text": t, "n_entities": e, "n_terms": h} if e else None)
-        return pa.array(out, _ARROW)
+            done.append({"text": t, "n_entities": e, "n_terms": h} if e else None)
+        return pa.array(done, _ARROW)
 
-    cleaned = back.select("__ev_doc", clean(F.col("__ev_doc.text"), F.col("known")).alias("__ev_clean"))
-    return cleaned.select(*[F.col("__ev_doc").getField(c).alias(c) for c in docs.columns], "__ev_clean")
+    cleaned = back.select("doc", clean(F.col("doc.text"), F.col("known")).alias("clean"))
+    return cleaned.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns], F.col("clean").alias(out))
 
 
-def _marked(docs: DataFrame, disclosure: float, broadcast_terms: int) -> DataFrame:
+def _marked(docs: DataFrame, disclosure: float, broadcast_terms: int) -> tuple[DataFrame, str]:
+    """``docs`` with one column more: (text, n_entities, n_terms), null where nothing changes; and its name."""
     small_batches(docs.sparkSession)
+    (out,) = fresh(docs, "clean")
     revealing = revealing_terms(docs, disclosure, broadcast_terms=broadcast_terms)
     if revealing.count() > broadcast_terms:
-        return _joined(docs, revealing)
-    return docs.withColumn("__ev_clean", cleaner(docs, revealing)(hinted(F.col("text"))))
+        return _joined(docs, revealing, out), out
+    return docs.withColumn(out, cleaner(docs, revealing)(hinted(F.col("text")))), out
 
 
 def sanitised(docs: DataFrame, disclosure: float = DISCLOSURE, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """``docs`` with the same rows and columns, and ``text`` sanitised."""
-    marked = _marked(docs, disclosure, broadcast_terms)
-    return marked.withColumn("text", F.coalesce("__ev_clean.text", "text")).drop("__ev_clean")
+    marked, out = _marked(docs, disclosure, broadcast_terms)
+    return marked.withColumn("text", F.coalesce(f"{out}.text", "text")).drop(out)
 
 
 def report(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """(doc_id, text, n_entities, n_terms) of every document."""
-    marked = _marked(docs.select("doc_id", "text"), disclosure, BROADCAST_TERMS)
+    marked, out = _marked(docs.select("doc_id", "text"), disclosure, BROADCAST_TERMS)
     zero = F.lit(0)
     return marked.select(
-        "doc_id", F.coalesce("__ev_clean.text", "text").alias("text"), F.coalesce("__ev_clean.n_entities", zero).alias("n_entities"), F.coalesce("__ev_clean.n_terms", zero).alias("n_terms")
+        "doc_id", F.coalesce(f"{out}.text", "text").alias("text"), F.coalesce(f"{out}.n_entities", zero).alias("n_entities"), F.coalesce(f"{out}.n_terms", zero).alias("n_terms")
     )
 
 
