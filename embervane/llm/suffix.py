@@ -7,20 +7,24 @@ so two documents that share a passage share an anchor inside it with its left an
 1. Anchors whose prefix hash occurs in one text only are dropped (hashes alone are shuffled). A hash that is
    shared by chance does no harm.
 2. Each task builds the suffixes of its anchors, sorts them, and sends each key range a front-coded run: length of the prefix shared
-   with the suffix before, and the rest. Ranges are split at quantiles of the anchors' leading bytes.
+   with the suffix before, and the rest. Ranges are split at quantiles of the anchors' leading bytes, and leading bytes that fill
+   several quantiles once more by a hash of their prefix; there are as many as the bytes of the shared anchors call for.
 3. A range's runs are combined by a loser tree whose entries know their common prefix with the last winner: the
    longer one wins unseen, and equal ones are compared from that point on only. The merge gives the sorted suffixes and
    their longest common prefixes (the LCP array).
 4. For each of the windows around an anchor, ranks in the suffix order (right context) and in the order of reversed left contexts tell
    exactly which texts hold the same window. Windows held by two documents or more are joined to passages.
 
+Anchors that more than ``HOT_TEXTS`` texts share (a license text in every hundredth document) aren't sorted, as a prefix group is merged
+by one task: their windows are digested (128 bits), grouped with partial sums, and joined back. The result is the same.
+
 Scale: text is shuffled once, for documents with shared anchors; the other shuffles carry hashes and front-coded runs. Texts that
-are copies of each other are sorted once. A range holds whole prefix groups and is sized by the number of shuffle partitions.
+are copies of each other are sorted once. A range holds whole prefix groups of at most ``HOT_TEXTS`` texts each.
 
 Defined results: null, empty and shorter texts have no passages; repeated rows and copies are documents like any other,
 so each reports its whole text; a passage twice in one document and nowhere else isn't reported; null doc_ids are
-reported as null and are never the first holder; other columns are ignored; an empty table gives an empty table. Words over
-``LONG_WORD`` bytes are compared by a 128-bit digest.
+reported as null and are never the first holder; ties (equal suffixes) share their rank, so no order among them matters; words of any
+length are compared by all their bytes, texts of any length are searched whole; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +42,11 @@ from .common import SpanHash, buffers, cut, lean, list_array, mix, powers, small
 
 MIN_WORDS = 50
 PREFIX = 20
-LONG_WORD = 64
+#: Ends each word of a suffix; words are split at white space, so none holds it.
+END = b" "
 RUN_BYTES = 32_000_000
+HOT_TEXTS = 20_000
+RANGE_BYTES, ANCHOR_BYTES = 32_000_000, 500
 _NO_DOC = (1 << 63) - 1
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -198,35 +205,38 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[in
     return order, lcp
 
 
-def _word(w: bytes) -> bytes:
-    return w if len(w) <= LONG_WORD else b"\x02" + xxhash.xxh3_128_hexdigest(w).encode()
-
-
 @lean
-def runs_of(batches: Iterator[pa.RecordBatch], splits: np.ndarray, min_words: int, prefix: int) -> Iterator[pa.RecordBatch]:
+def runs_of(batches: Iterator[pa.RecordBatch], marks: np.ndarray, min_words: int, prefix: int) -> Iterator[pa.RecordBatch]:
     """Front-coded sorted runs, one for each key range, of the suffixes at the given anchors."""
-    left_words = min_words - prefix
+    left_words, splits = min_words - prefix, np.unique(marks, return_counts=True)
     rows: list[tuple[bytes, bytes, int, int, int]] = []
     held = 0
     for batch in batches:
         for key, doc, text, at in zip(batch["key"].to_pylist(), batch["doc"].to_pylist(), batch["text"], batch["at"]):
-            split = [_word(w) for w in text.as_buffer().to_pybytes().split()]
+            split = text.as_buffer().to_pybytes().split()
             for p in at.values.to_pylist():
-                right = b"\x01".join(split[p : p + min_words]) + b"\x01"
-                left = b"\x01".join(split[max(0, p - left_words) : p][::-1]) + b"\x01" if p else b""
+                right = END.join(split[p : p + min_words]) + END
+                left = END.join(split[max(0, p - left_words) : p][::-1]) + END if p else b""
                 rows.append((right, left, key, p, doc))
                 held += len(right) + len(left) + 150
             if held > RUN_BYTES:
-                yield from _ranged(rows, splits)
+                yield from _ranged(rows, *splits, prefix)
                 rows, held = [], 0
     if rows:
-        yield from _ranged(rows, splits)
+        yield from _ranged(rows, *splits, prefix)
 
 
-def _ranged(rows: list[tuple[bytes, bytes, int, int, int]], splits: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _ranged(rows: list[tuple[bytes, bytes, int, int, int]], splits: np.ndarray, repeats: np.ndarray, prefix: int) -> Iterator[pa.RecordBatch]:
     rows.sort()
-    lead = np.array([int.from_bytes(r[0][:8].replace(b"\x01", b" ").ljust(8, b"\0")) >> 1 for r in rows], np.int64)
+    lead = np.array([int.from_bytes(r[0][:8].ljust(8, b"\0")) >> 1 for r in rows], np.int64)
     part = np.searchsorted(splits, lead, side="right")
+    if len(splits):
+        # leading bytes that are several quantiles: as many parts, by prefix
+        begin = np.maximum(part - 1, 0)
+        parts = np.concatenate([[1], repeats])[part]
+        part = np.concatenate([[0], np.cumsum(repeats)])[part]
+        for i in np.flatnonzero((parts > 1) & (splits[begin] == lead)).tolist():
+            part[i] -= xxhash.xxh3_64_intdigest(END.join(rows[i][0].split(END, prefix)[:prefix])) % int(parts[i])
     for r in np.unique(part):
         own = [rows[i] for i in np.flatnonzero(part == r)]
         shared, size, rest = front_code([x[0] for x in own])
@@ -244,6 +254,27 @@ def _ranged(rows: list[tuple[bytes, bytes, int, int, int]], splits: np.ndarray)
         yield pa.RecordBatch.from_pydict(columns, schema=_RUN_ARROW)
 
 
+_WINDOWS = "digest binary, key long, start int, doc long"
+
+
+@lean
+def windows_of(batches: Iterator[pa.RecordBatch], min_words: int, prefix: int) -> Iterator[pa.RecordBatch]:
+    """Digest, text and first word of every window that holds one of the given anchors' prefixes."""
+    digest = xxhash.xxh3_128_digest
+    for batch in batches:
+        for key, doc, text, at in zip(batch["key"].to_pylist(), batch["doc"].to_pylist(), batch["text"], batch["at"]):
+            split = text.as_buffer().to_pybytes().split()
+            starts = sorted({x for p in at.values.to_pylist() for x in range(max(0, p - min_words + prefix), min(p, len(split) - min_words) + 1)})
+            columns = {
+                "digest": [digest(END.join(split[x : x + min_words])) for x in starts],
+                "key": np.full(len(starts), key, np.int64),
+                "start": np.array(starts, np.int32),
+                "doc": np.full(len(starts), doc, np.int64),
+            }
+            yield pa.RecordBatch.from_pydict(columns, schema=_WINDOWS_ARROW)
+
+
+_WINDOWS_ARROW = pa.schema([("digest", pa.binary()), ("key", pa.int64()), ("start", pa.int32()), ("doc", pa.int64())])
 _RUN = "range int, shared binary, size binary, rest binary, left_size binary, left binary, key binary, at binary, doc binary"
 _RUN_ARROW = pa.schema([("range", pa.int32())] + [(k, pa.binary()) for k in ("shared", "size", "rest", "left_size", "left", "key", "at", "doc")])
 _SPANS = "key long, start int, end int, first long"
@@ -261,7 +292,7 @@ def merged_range(table: pa.Table, min_words: int, prefix: int) -> pa.Table:
     order, lcp = merge_runs(runs)
     base = np.cumsum([0, *[len(r[0]) for r in runs]])
     index = np.array([base[r] + i for r, i in order], np.int64)
-    right_lcp = np.array([runs[r][0][i].count(b"\x01", 0, k) for (r, i), k in zip(order, lcp)], np.int64)
+    right_lcp = np.array([runs[r][0][i].count(END, 0, k) for (r, i), k in zip(order, lcp)], np.int64)
     # prefix groups of one anchor are done with
     alone = right_lcp < prefix
     near = ~alone
@@ -269,7 +300,7 @@ def merged_range(table: pa.Table, min_words: int, prefix: int) -> pa.Table:
     keep = np.flatnonzero(near)
     if not len(keep):
         return pa.table({"key": pa.array([], pa.int64()), "start": pa.array([], pa.int32()), "end": pa.array([], pa.int32()), "first": pa.array([], pa.int64())})
-    right_words = np.array([runs[r][0][i].count(b"\x01") for r, i in (order[j] for j in keep)])
+    right_words = np.array([runs[r][0][i].count(END) for r, i in (order[j] for j in keep)])
     left = [lefts[order[j][0]][order[j][1]] for j in keep]
     key, at, doc = (np.concatenate([c[k] for c in columns])[index[keep]] for k in range(3))
     # dropping lone suffixes keeps the prefixes of the others: a lone one shares less than ``prefix`` words with both sides
@@ -277,9 +308,9 @@ def merged_range(table: pa.Table, min_words: int, prefix: int) -> pa.Table:
     by_left = sorted(range(len(left)), key=left.__getitem__)
     left_lcp, before = np.zeros(len(left), np.int64), b""
     for j, i in enumerate(by_left):
-        left_lcp[j] = before.count(b"\x01", 0, common_prefix(before, left[i]))
+        left_lcp[j] = before.count(END, 0, common_prefix(before, left[i]))
         before = left[i]
-    left_words = np.array([x.count(b"\x01") for x in left])
+    left_words = np.array([x.count(END) for x in left])
     by_left = np.array(by_left)
     n = len(keep)
     most, least, first = np.full(n, -1, np.int64), np.full(n, min_words, np.int64), np.full(n, _NO_DOC, np.int64)
@@ -313,7 +344,16 @@ def merged_range(table: pa.Table, min_words: int, prefix: int) -> pa.Table:
     )
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX) -> DataFrame:
+def text_keys(rows: DataFrame, bits: int = 64) -> Column:
+    """A bigint for each digest: a hash of ``bits`` bits, and another one where several digests share it (of n about n * n / 2**65 do)."""
+    digest = F.col("digest")
+    key = F.xxhash64(digest) if bits == 64 else F.xxhash64(digest).bitwiseAND(F.lit((1 << bits) - 1))
+    shared = rows.groupBy(key.alias("key")).agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where("low < high")
+    known = [r.key for r in shared.select("key").toLocalIterator()]
+    return F.when(key.isin(known), F.xxhash64(F.lit("again"), digest)).otherwise(key) if known else key
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX, bits: int = 64, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """(doc_id, start_word, end_word, first_doc_id): passages (end exclusive) that at least two documents hold.
 
     ``first_doc_id`` is the lowest doc_id that holds some window of the passage; dedup keeps it there and drops it elsewhere.
@@ -322,27 +362,40 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int =
         raise ValueError("prefix must be at least 1 and less than min_words")
     session = docs.sparkSession
     small_batches(session)
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    rows = texts.select("doc_id", "key", anchor_udf(min_words, prefix)(F.col("text")).alias("a"))
-    rows = cut(rows.select("doc_id", "key", "a.n", "a.h", "a.at", "a.lead").where(F.col("n") >= min_words))
-    ranges = 2 * int(session.conf.get("spark.sql.shuffle.partitions"))
-    marks = rows.select(F.explode("lead").alias("lead")).agg(F.percentile_approx("lead", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
-    splits = np.unique(np.array(marks or [], np.int64))
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("digest"), "text")
+    rows = texts.select("doc_id", "digest", anchor_udf(min_words, prefix)(F.col("text")).alias("a"))
+    rows = cut(rows.select("doc_id", "digest", "a.n", "a.h", "a.at", "a.lead").where(F.col("n") >= min_words))
+    key = text_keys(rows, bits)
+    rows, texts = rows.withColumn("key", key), texts.withColumn("key", key)
     texts_of = rows.groupBy("key").agg(F.coalesce(F.min("doc_id"), F.lit(_NO_DOC)).alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
     texts_of = cut(texts_of)
     # 1: anchors that two texts share
     every = rows.select("key", F.explode(F.arrays_zip("h", "at")).alias("a")).select("key", "a.h", "a.at")
-    shared = every.groupBy("h").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x < y").select("h")
-    mine = every.join(shared, "h", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    mine = mine.join(texts_of.select("key", "doc"), "key")
+    shared = every.groupBy("h").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
+    shared = cut(shared.select("h", "n"))
+    hot = F.col("n") > hot_texts
+    size = shared.agg(F.sum(F.when(~hot, F.col("n"))), F.max(hot)).first()
+    ranges = max(2 * int(session.conf.get("spark.sql.shuffle.partitions")), (size[0] or 0) * ANCHOR_BYTES // RANGE_BYTES)
+    marks = rows.select(F.explode("lead").alias("lead")).agg(F.percentile_approx("lead", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
+    marks = np.array(marks or [], np.int64)
+
+    def texts_at(anchor: DataFrame) -> DataFrame:
+        mine = every.join(anchor.select("h"), "h", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("at"))
+        mine = mine.join(texts_of.select("key", "doc"), "key")
+        return texts.select("key", "text").join(mine, "key").groupBy("key").agg(*[F.first(c).alias(c) for c in ("doc", "text", "at")])
+
     # 2 to 4
-    joined = texts.select("key", "text").join(mine, "key").groupBy("key").agg(*[F.first(c).alias(c) for c in ("doc", "text", "at")])
-    runs = joined.mapInArrow(lambda it: runs_of(it, splits, min_words, prefix), _RUN)
+    runs = texts_at(shared.where(~hot)).mapInArrow(lambda it: runs_of(it, marks, min_words, prefix), _RUN)
 
     def merge(table: pa.Table) -> pa.Table:
         return merged_range(table, min_words, prefix)
 
     spans = runs.groupBy("range").applyInArrow(merge, _SPANS)
+    if size[1]:
+        found = cut(texts_at(shared.where(hot)).mapInArrow(lambda it: windows_of(it, min_words, prefix), _WINDOWS).distinct())
+        groups = found.groupBy("digest").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.min("doc").alias("first")).where("x < y")
+        hits = found.join(groups.select("digest", "first"), "digest")
+        spans = spans.unionAll(hits.select("key", "start", (F.col("start") + min_words).cast("int").alias("end"), "first"))
     copies = texts_of.where("copies > 1").select("key", F.lit(0).alias("start"), F.col("n").cast("int").alias("end"), F.col("doc").alias("first"))
     # overlapping and touching spans of a text are one passage
     by = Window.partitionBy("key").orderBy("start", "end")
@@ -358,7 +411,7 @@ SQL = f"""
 WITH w AS (
   SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS words FROM documents WHERE text IS NOT NULL),
 windows AS (
-  SELECT doc_id, i, md5(array_to_string(words[i:i + {MIN_WORDS - 1}], chr(1))) AS h
+  SELECT doc_id, i, md5(array_to_string(words[i:i + {MIN_WORDS - 1}], ' ')) AS h
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - {MIN_WORDS - 2})) AS i FROM w WHERE len(words) >= {MIN_WORDS})),
 shared AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h HAVING count(DISTINCT doc_id) > 1),
 hits AS (SELECT doc_id, i - 1 AS s, i - 1 + {MIN_WORDS} AS e, first FROM windows JOIN shared USING (h)),
