@@ -1,18 +1,19 @@
 """Quality classifier: supervised subword embeddings, averaged per document, with a softmax output.
 
-A document's features are its white-space words and the character (byte) n-grams of 3 to 5 inside ``_word_`` (one blank on
+A document's features are its white-space words and the n-grams of 3 to 5 characters inside ``_word_`` (one blank on
 either side), hashed into ``2**BUCKET_BITS`` learned vectors. A document is the mean vector of all its features; a
 linear softmax layer gives the class. Vectors and layer are trained by plain numpy stochastic gradient descent on
 labelled documents, a part of which is held out to set the threshold.
 
-Training uses at most ``MAX_TRAIN`` labelled documents, whole, chosen by a hash of ``doc_id`` (the documented bound); the
-classifier runs on every document. At inference the softmax of a mean of vectors is linear in the features, so each
+Training uses at most ``MAX_TRAIN`` labelled documents, whole, chosen by a hash of ``doc_id`` (the documented bound; of several
+texts of one doc_id the lowest counts); the classifier runs on every document. At inference the softmax of a mean of vectors is linear in the features, so each
 bucket's contribution is one float: a table of 1 MB that each executor gets once, whatever the corpus is.
 
 Scale: scoring is one narrow stage without shuffle, numpy over Arrow buffers; training's cost doesn't grow with the corpus.
 
 Defined results: null, empty and blank texts have no features, score 0 and are rejected; a document is rejected if its
-probability of good quality is below the threshold; repeated rows score alike; labels of unknown documents, null labels and
+probability of good quality is below the threshold, and kept at the threshold itself; texts of any length are read whole; repeated
+rows score alike; labels of unknown documents, null labels and
 null ids are ignored; with fewer than two classes among the labels nothing is rejected but empty texts (score 1);
 further columns pass unchanged in ``filter_quality``.
 """
@@ -60,12 +61,21 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     np.cumsum(~inside, out=depth[1:])
     hashes = SpanHash(wide)
     bounds = offsets + np.arange(rows + 1)
+    ascii_only = not (wide > 127).any()
+    lead = None if ascii_only else np.append(np.flatnonzero((wide & 0xC0) != 0x80), len(wide))
     for n in NGRAMS:
-        h = hashes.sliding(n)
-        # no blank strictly inside, and not both ends blank around nothing
-        ok = np.flatnonzero(depth[n - 1 : len(wide)] [: len(h)] == depth[1 : len(h) + 1])
-        h = mix(h[ok] + np.uint64(n))
-        yield (h >> shift).astype(np.int32), np.searchsorted(ok, bounds)
+        if ascii_only:
+            h = hashes.sliding(n)
+            # no blank strictly inside, and not both ends blank around nothing
+            at = np.flatnonzero(depth[n - 1 : len(wide)][: len(h)] == depth[1 : len(h) + 1])
+            h = h[at]
+        else:  # characters of several bytes: spans from one leading byte to the n-th after it
+            begin, end = lead[: max(0, len(lead) - n)], lead[n:]
+            ok = depth[lead[n - 1 : -1]] == depth[begin + 1] if len(begin) else np.zeros(0, bool)
+            at = begin[ok]
+            h = (hashes.sums[end[ok]] - hashes.sums[at]) * hashes.down[at]
+        h = mix(h + np.uint64(n))
+        yield (h >> shift).astype(np.int32), np.searchsorted(at, bounds)
 
 
 @dataclass
@@ -151,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     """Fit on the labelled documents whose hashed ids are lowest, at most ``max_train`` of them."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "good").toArrow().to_pydict()
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "good").agg(F.min("text").alias("text")).toArrow().to_pydict()
     by = sorted(range(len(rows["doc_id"])), key=lambda i: (rows["doc_id"][i], rows["text"][i]))
     return fit([rows["text"][i] for i in by], np.array([int(rows["good"][i] > 0) for i in by], np.int64))
 
