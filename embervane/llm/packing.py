@@ -5,8 +5,8 @@ full sequences. The rest is bin packing, solved in each shard:
 
 1. large pieces (over ``capacity / 8``) are sorted and cut into ``GROUPS`` groups of equal cardinality, and every length is
    rounded up to its group's largest, which leaves few sizes;
-2. the fewest bins over configurations of these sizes come from the configuration linear programme (column generation,
-   with a knapsack over integer lengths as the pricing step); whole multiples of its configurations are opened;
+2. the fewest bins over configurations of these sizes come from the configuration linear programme (column generation to the
+   optimum, with a knapsack over integer lengths as the pricing step); whole multiples of its configurations are opened;
 3. actual documents take the slots of their group, so every rounded configuration stays feasible;
 4. what rounding down left over, and all small pieces, go in best-fit order (longest first) into the actual gaps.
 
@@ -14,8 +14,9 @@ Scale: only (doc_id, length) is shuffled, once, into shards of about ``shard_row
 and shards are independent, so work is linear and any number of executors helps. Sharding costs at most one partly
 filled bin plus the scheme's additive term for each shard of ``shard_rows`` documents.
 
-Defined results: null, empty and blank texts hold no tokens and take no place; rows with null doc_id and repeated rows are
-packed as rows of their own; equal lengths are ordered by doc_id; other columns are ignored; an empty table gives an empty table.
+Defined results: null, empty and blank texts hold no tokens and take no place; a text of any length is cut into pieces that all have a
+place; rows with null doc_id and repeated rows are packed as rows of their own, spread over the shards like any others; equal
+lengths are ordered by doc_id; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
         raise ValueError("capacity must be positive")
     shards = max(1, math.ceil(docs.count() / shard_rows))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_tokens(F.col("text")).alias("n")).where("n > 0")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards)).cast("int"))
+    # the row's number is part of the hash, so that very many rows of one doc_id don't meet in one shard
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
 
     def solve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return _shard(key[0].as_py(), shards, table, capacity)
@@ -142,11 +144,13 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
     """Patterns (rows: how many of each size) and how often each is used: the configuration LP, rounded down."""
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
-    for _ in range(60 * m):
+    known: set[bytes] = set()
+    while True:
         value = np.linalg.solve(basis.T, np.ones(m))
         best, pattern = knapsack(sizes, value, capacity)
-        if best <= 1 + 1e-9:
+        if best <= 1 + 1e-9 or pattern.tobytes() in known:  # optimal; a pattern that comes again gains by rounding errors only
             break
+        known.add(pattern.tobytes())
         x, d = np.linalg.solve(basis, np.column_stack([demand, pattern])).T
         ratio = np.where(d > 1e-9, np.maximum(x, 0) / np.where(d > 1e-9, d, 1), np.inf)
         basis[:, int(np.argmin(ratio))] = pattern
