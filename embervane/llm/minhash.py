@@ -2,12 +2,14 @@
 
 1. Text is lower-cased and cut into words (runs without white space or ASCII punctuation); its 3-word shingles are hashed
    with numpy over Arrow buffers and 120 MinHash values of 16 bits are kept. Texts with the same words collapse to one node
-   here, so exact copies, however many, cost nothing later.
+   here, so exact copies, however many, cost nothing later. A node's key is a hash of a 128-bit digest of its words; keys that
+   two digests share (a handful among 10^10 texts) are found and replaced, so no two texts are ever one by chance.
 2. 40 bands of 3 values give candidates (a pair of similarity 0.5 is missed with probability 0.005). In a bucket every node
    meets the lowest one and its 8 predecessors, which is every pair of a bucket of up to 9. Larger buckets are then cut
    into equal block tiles in which all pairs meet, but those that are in one component by then.
 3. Candidates compare their signatures batch by batch; under a uniform prior the posterior of the similarity is a Beta, and
-   a pair is dropped as soon as the probability that it reaches the threshold falls under ``miss``.
+   a pair is dropped as soon as the probability that it reaches the threshold falls under ``miss`` over the number of batches,
+   so that all batches together miss at most ``miss``.
 4. Survivors are verified exactly on their shingle sets.
 5. Verified pairs are joined to groups by connected components; the lowest doc_id of each stays.
 
@@ -17,8 +19,8 @@ of its nodes, unless they are one component: tiles of ``TILE`` nodes a side are
 sets go to the tiles that need them, not to each pair.
 
 Defined results: null texts and texts without words join no group and are kept; texts of one or two words have a single
-shingle; repeated rows are copies (one is kept); a null doc_id sorts last within its group; further columns are ignored; an
-empty table gives an empty table.
+shingle, very long ones all of theirs; repeated rows are copies (one is kept); a null doc_id sorts last within its group; a pair
+exactly at the threshold is near; further columns pass unchanged, whatever they are called; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHash, buffers, cut, lean, mix, small_batches, steps, words
+from .common import SpanHash, buffers, cut, fresh, lean, mix, small_batches, steps, words
 from .components import components
 
 THRESHOLD = 0.5
@@ -70,67 +73,76 @@ def shingles(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mix(h), ends
 
 
-def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, signature, valid) of each row: a hash of the word sequence, and MinHash values as uint16."""
+def digests(data: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
+    """128-bit digest of the words of each row, one blank between them; None without words."""
+    blank = _BLANK[data]
+    keep = ~blank
+    keep[1:] |= ~blank[:-1]  # the first blank after a word
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    keep[inner] = ~blank[inner]
+    plain = memoryview(np.where(blank, np.uint8(32), data)[keep])
+    ends = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    # a row's last blank isn't between words
+    stop = ends[1:] - ((ends[1:] > ends[:-1]) & blank[np.maximum(offsets[1:] - 1, 0)] if len(data) else 0)
+    return [xxhash.xxh3_128_digest(plain[i:j]) if j > i else None for i, j in zip(ends[:-1].tolist(), stop.tolist())]
+
+
+def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
+    """(digest, signature, valid) of each row; signatures are MinHash values as uint16."""
     rows = len(offsets) - 1
     word, first = word_hashes(data, offsets)
     valid = np.diff(first) > 0
-    key, out = np.zeros(rows, np.uint64), np.zeros((rows, HASHES), np.uint16)
-    if not len(word):
-        return key, out, valid
-    some = np.flatnonzero(valid)
-    place = np.arange(len(word), dtype=np.uint64) - np.repeat(first[:-1].astype(np.uint64), np.diff(first))
-    key[some] = mix(np.add.reduceat(mix(word + place * _STEPS[1]), first[some]))
-    h, ends = shingles(word, first)
-    buffer, begin = np.empty_like(h), ends[some]
-    for j in range(HASHES):
-        np.multiply(h, _MULTIPLIERS[j], out=buffer)
-        least = np.minimum.reduceat(buffer, begin)
-        out[some, j] = mix(least).astype(np.uint16)
-    return key, out, valid
-
-
-@F.arrow_udf(T.StructType([T.StructField("key", T.LongType()), T.StructField("sig", T.BinaryType())]))
+    out = np.zeros((rows, HASHES), np.uint16)
+    if len(word):
+        some = np.flatnonzero(valid)
+        h, ends = shingles(word, first)
+        buffer, begin = np.empty_like(h), ends[some]
+        for j in range(HASHES):
+            np.multiply(h, _MULTIPLIERS[j], out=buffer)
+            out[some, j] = mix(np.minimum.reduceat(buffer, begin)).astype(np.uint16)
+    return digests(data, offsets), out, valid
+
+
+@F.arrow_udf(T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType())]))
 @lean
 def signature_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    none = pa.scalar(None, pa.binary())
     for texts in batches:
         data, offsets = buffers(texts)
-        keys, sigs, oks = [], [], []
+        names, blobs = [pa.array([], pa.binary())], [pa.array([], pa.binary())]
         for a, b in steps(offsets):
-            k, s, ok = signatures(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            keys.append(k)
-            sigs.append(s)
-            oks.append(ok)
-        if not keys:
-            yield pa.array([], pa.struct([("key", pa.int64()), ("sig", pa.binary())]))
-            continue
-        key, sig, ok = np.concatenate(keys), np.ascontiguousarray(np.concatenate(sigs)), np.concatenate(oks)
-        missing = pa.array(~ok)
-        blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * HASHES), len(sig), [None, pa.py_buffer(sig)]).cast(pa.binary())
-        none = pa.scalar(None, pa.binary())
-        yield pa.StructArray.from_arrays(
-            [pa.array(key.view(np.int64), mask=~ok), pa.compute.if_else(missing, none, blob)], ["key", "sig"]
-        )
-
-
-@F.arrow_udf(T.LongType())
+            digest, sig, ok = signatures(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            names.append(pa.array(digest, pa.binary()))
+            blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * HASHES), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig))])
+            blobs.append(pa.compute.if_else(pa.array(ok), blob.cast(pa.binary()), none))
+        yield pa.StructArray.from_arrays([pa.concat_arrays(names), pa.concat_arrays(blobs)], ["digest", "sig"])
+
+
+@F.arrow_udf(T.BinaryType())
 @lean
-def key_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """The key alone; the same as ``signature_udf`` gives."""
+def digest_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The digest alone; the same as ``signature_udf`` gives."""
     for texts in batches:
         data, offsets = buffers(texts)
-        parts = [pa.array([], pa.int64())]
+        parts = [pa.array([], pa.binary())]
         for a, b in steps(offsets):
-            word, first = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            some = np.flatnonzero(np.diff(first) > 0)
-            key = np.zeros(b - a, np.uint64)
-            if len(some):
-                place = np.arange(len(word), dtype=np.uint64) - np.repeat(first[:-1].astype(np.uint64), np.diff(first))
-                key[some] = mix(np.add.reduceat(mix(word + place * _STEPS[1]), first[some]))
-            parts.append(pa.array(key.view(np.int64), mask=np.diff(first) == 0))
+            parts.append(pa.array(digests(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), pa.binary()))
         yield pa.concat_arrays(parts)
 
 
+class Keys:
+    """bigint keys of digests: a hash of ``bits`` bits, and another one for the keys that several digests share; null for null."""
+
+    def __init__(self, bits: int = 64, shared: tuple[int, ...] = ()):
+        self.bits, self.shared = bits, shared
+
+    def of(self, digest: Column) -> Column:
+        key = F.xxhash64(digest)
+        key = key if self.bits == 64 else key.bitwiseAND(F.lit((1 << self.bits) - 1))
+        key = F.when(key.isin(list(self.shared)), F.xxhash64(F.lit("again"), digest)).otherwise(key) if self.shared else key
+        return F.when(digest.isNotNull(), key)
+
+
 @F.arrow_udf(T.BinaryType())
 @lean
 def shingle_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -162,7 +174,7 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
 def least_matches(threshold: float, miss: float, batch: int = BATCH, hashes: int = HASHES) -> np.ndarray:
     """For n = batch, 2 batch, ...: the fewest matches m with P(similarity >= threshold | m of n) >= miss, prior uniform."""
     grid = (np.arange(20_000) + 0.5) / 20_000
-    least = []
+    least, miss = [], miss * batch / hashes  # the share of each batch
     for n in range(batch, hashes + 1, batch):
         for m in range(n + 1):
             log = m * np.log(grid) + (n - m) * np.log1p(-grid)
@@ -251,14 +263,21 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
     )
 
 
-def near_groups(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) of every row, and (key, root): the group of every node that is near another one."""
+def near_groups(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, bits: int = 64) -> tuple[DataFrame, DataFrame, Keys]:
+    """(doc_id, key) of every row, (key, root): the group of every node that is near another one, and how keys are made."""
     small_batches(docs.sparkSession)
+    keys = Keys(bits)
     signed = docs.select("doc_id", signature_udf(F.lower(F.col("text"))).alias("s"))
-    signed = cut(signed.select("doc_id", "s.key", "s.sig"))
-    nodes = cut(signed.where("key is not null").groupBy("key").agg(F.first("sig").alias("sig")))
+    signed = cut(signed.select("doc_id", "s.digest", "s.sig"))
+    some = signed.where("digest is not null").select(keys.of(F.col("digest")).alias("key"), "digest", "sig")
+    nodes = cut(some.groupBy("key").agg(F.first("sig").alias("sig"), F.min("digest").alias("low"), F.max("digest").alias("high")))
+    # of n texts about n * n / 2**65 share a key
+    keys = Keys(bits, tuple(r.key for r in nodes.where("low < high").select("key").toLocalIterator()))
+    if keys.shared:
+        nodes = cut(some.select(keys.of(F.col("digest")).alias("key"), "sig").groupBy("key").agg(F.first("sig").alias("sig")))
+    nodes = nodes.select("key", "sig")
     tested = cut(bucket_pairs(bands(nodes)))
-    edges = verified(docs, nodes, tested, threshold, miss)
+    edges = verified(docs, nodes, tested, threshold, miss, keys)
     found = components(edges)
     # buckets over the all-pairs size: every pair that isn't in one component yet
     sized = bands(nodes).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
@@ -266,13 +285,13 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MIS
     if not large.isEmpty():
         met = cut(crowded_pairs(nodes, large, found, threshold, miss))
         new = cut(met.groupBy("a", "b").agg(F.min(F.struct(*_TILE)).alias("t")).select("t.*", "a", "b").join(tested, ["a", "b"], "left_anti"))
-        more = verified_tiles(docs, new, threshold)
+        more = verified_tiles(docs, new, threshold, keys)
         if not more.isEmpty():
             found = components(edges.union(more))
-    return signed.select("doc_id", "key"), found.select(F.col("node").alias("key"), "root")
+    return signed.select("doc_id", keys.of(F.col("digest")).alias("key")), found.select(F.col("node").alias("key"), "root"), keys
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float, miss: float) -> DataFrame:
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float, miss: float, keys: Keys) -> DataFrame:
     """(u, v): the pairs that pass the sequential test and then the exact one."""
     left = nodes.select(F.col("key").alias("a"), F.col("sig").alias("sig_a"))
     right = nodes.select(F.col("key").alias("b"), F.col("sig").alias("sig_b"))
@@ -280,27 +299,27 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: flo
     alive = cut(alive)
     if alive.isEmpty():
         return alive.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    sets = shingle_sets(docs, alive)
+    sets = shingle_sets(docs, alive, keys)
     x = sets.select(F.col("key").alias("a"), F.col("s").alias("sa"))
     y = sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
     exact = alive.join(x, "a").join(y, "b").where(jaccard(F.col("sa"), F.col("sb")) >= threshold)
     return cut(exact.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def shingle_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, pairs: DataFrame, keys: Keys) -> DataFrame:
     """(key, s): the shingle set of every node of ``pairs`` (a, b)."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     low = F.lower(F.col("text"))
-    texts = docs.select(key_udf(low).alias("key"), low.alias("low")).where("key is not null").join(wanted, "key", "left_semi")
+    texts = docs.select(digest_udf(low).alias("digest"), low.alias("low")).where("digest is not null").select(keys.of(F.col("digest")).alias("key"), "low").join(wanted, "key", "left_semi")
     return texts.groupBy("key").agg(F.first("low").alias("low")).select("key", shingle_set(F.col("low")).alias("s"))
 
 
-def verified_tiles(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def verified_tiles(docs: DataFrame, pairs: DataFrame, threshold: float, keys: Keys) -> DataFrame:
     """(u, v): the pairs that pass the exact test; a set goes once to each tile that holds pairs of it."""
     if pairs.isEmpty():
         return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
     sides = [F.col(c).alias(f"of_{c}") for c in _TILE]
-    placed = pairs.select(*sides, F.explode(F.array("a", "b")).alias("key")).distinct().join(shingle_sets(docs, pairs), "key")
+    placed = pairs.select(*sides, F.explode(F.array("a", "b")).alias("key")).distinct().join(shingle_sets(docs, pairs, keys), "key")
 
     def solve(own: pa.Table, sets: pa.Table) -> pa.Table:
         known = {k: np.frombuffer(s, np.uint64) for k, s in zip(sets["key"].to_pylist(), sets["s"].to_pylist())}
@@ -311,21 +330,16 @@ def verified_tiles(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataF
     return cut(pairs.groupBy(*_TILE).cogroup(placed.groupBy(*[f"of_{c}" for c in _TILE])).applyInArrow(solve, "u long, v long").distinct())
 
 
-def duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
+def duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, bits: int = 64) -> DataFrame:
     """(doc_id, duplicate_of, group_size): a row for each document that goes, with the one that stays in its place."""
-    ids, found = near_groups(docs, threshold, miss)
-    rooted = ids.where("key is not null").join(found, "key", "left").select("doc_id", F.coalesce("root", "key").alias("root"))
-    group = Window.partitionBy("root")
-    return (
-        rooted.select(
-            "doc_id",
-            F.min("doc_id").over(group).alias("duplicate_of"),
-            F.count(F.lit(1)).over(group).alias("group_size"),
-            F.row_number().over(group.orderBy(F.col("doc_id").asc_nulls_last())).alias("rank"),
-        )
-        .where("rank > 1")
-        .drop("rank")
-    )
+    ids, found, _ = near_groups(docs, threshold, miss, bits)
+    numbered = ids.where("key is not null").withColumn("row", F.monotonically_increasing_id())  # of checkpointed rows: stable
+    rooted = numbered.join(found, "key", "left").select("doc_id", "row", F.coalesce("root", "key").alias("root"))
+    # partial sums first, so that a group of any size is one row of each task
+    stays = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    groups = rooted.groupBy("root").agg(stays, F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    gone = rooted.join(groups, "root").where(F.col("row") != F.col("first.row"))
+    return gone.select("doc_id", F.col("first.doc_id").alias("duplicate_of"), "group_size")
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
@@ -333,15 +347,15 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS
 
     The winner of each group, (key, lowest doc_id), is found on ids alone; then rows meet it by key, so text moves once.
     """
-    ids, found = near_groups(docs, threshold, miss)
+    ids, found, keys = near_groups(docs, threshold, miss)
     rooted = ids.where("key is not null").join(found, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
-    best = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "key")
-    winners = rooted.withColumn("rank", F.row_number().over(best)).where("rank = 1")
-    winners = winners.select(F.col("key").alias("__ev_k"), F.col("doc_id").alias("__ev_d"))
-    keyed = docs.withColumn("__ev_key", key_udf(F.lower(F.col("text"))))
-    mine = (F.col("__ev_key") == F.col("__ev_k")) & F.col("doc_id").eqNullSafe(F.col("__ev_d"))
-    once = Window.partitionBy("__ev_key", "doc_id").orderBy("doc_id")
-    kept = keyed.where("__ev_key is not null").join(winners, mine, "left_semi")
-    kept = kept.withColumn("__ev_rank", F.row_number().over(once)).where("__ev_rank = 1")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")
+    digest, key, rank, k, d = fresh(docs, "digest", "key", "rank", "k", "d")
+    winners = rooted.groupBy("root").agg(first).select(F.col("first.key").alias(k), F.col("first.doc_id").alias(d))
+    keyed = docs.withColumn(digest, digest_udf(F.lower(F.col("text")))).withColumn(key, keys.of(F.col(digest)))
+    mine = (F.col(key) == F.col(k)) & F.col("doc_id").eqNullSafe(F.col(d))
+    once = Window.partitionBy(key, "doc_id").orderBy("doc_id")
+    kept = keyed.where(F.col(digest).isNotNull()).join(winners, mine, "left_semi")
+    kept = kept.withColumn(rank, F.row_number().over(once)).where(F.col(rank) == 1)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return kept.select(*columns).unionAll(keyed.where("__ev_key is null").select(*columns))
+    return kept.select(*columns).unionAll(keyed.where(F.col(digest).isNull()).select(*columns))
