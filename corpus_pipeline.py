@@ -1,7 +1,12 @@
 """A corpus pipeline of five of the operators: quality, line dedup, near-dedup, sanitisation, packing.
 
 Each stage takes what the one before kept, written as Parquet and read again. Stages that change texts bring
-``n_chars``, where the table has it, up to date.
+``n_chars``, where the table has it, up to date. A line is dropped from every document but the first that holds it, so a document of
+which line dedup leaves nothing is one whose lines are all elsewhere; it goes.
+
+Defined results: rows with null, empty or blank text are rejected by the first stage, with or without usable labels; a null doc_id is
+kept and treated as its operator says; repeated rows are near copies of each other, of which one stays; further columns pass all stages
+but the last, whatever they are called; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embervane.llm import lines, minhash, packing, pii, quality
-from embervane.llm.common import ensure_checkpoint_dir
+from embervane.llm.common import ensure_checkpoint_dir, fresh
 
 #: No SQL: the classifier, MinHash and packing can't be expressed. The tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -31,8 +36,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that very many of them share."""
-    return _counted(lines.line_dedup(docs))
+    """Documents without lines that very many of them share, but for the first that holds each."""
+    (had,) = fresh(docs, "had")
+    full = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    left = lines.line_dedup(docs.withColumn(had, full))
+    return _counted(left.where(full | ~F.col(had)).drop(had))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +68,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between them goes to the folder of ``spark.checkpoint.dir``."""
+    """All stages over ``documents``; what lies between them goes to the folder of ``spark.checkpoint.dir``.
+
+    Each stage's table is deleted once the next one is written; the last of them stays, as the result reads it.
+    """
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{before}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        docs, before = spark.read.parquet(f"{folder}/{name}"), name
     return STAGES[-1][1](spark, docs, sf_dir)
