@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bpe, embdedup, fingerprint, lines, minhash, packing, pii, quality, suffix, toxicity
 
 
+LOOSE, STRICT = 0.4, 3
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,8 +25,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = embdedup.similar_pairs(table(spark, sf_dir, "embeddings"))
-    return pairs.withColumn("similarity", F.round("similarity", 6))
+    return embdedup.links(table(spark, sf_dir, "embeddings"))
+
+
+def embedding_links_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3 at a threshold that small tables of unrelated vectors reach, too."""
+    return embdedup.links(table(spark, sf_dir, "embeddings"), LOOSE)
 
 
 def op4_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +58,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text")
 
 
+def line_dedup_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8 at a threshold that many lines of a small table pass."""
+    return lines.line_dedup(table(spark, sf_dir, "documents"), STRICT).select("doc_id", "text")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -72,11 +83,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "fingerprint_groups": fingerprint_groups,
+    "embedding_links_loose": embedding_links_loose,
+    "line_dedup_strict": line_dedup_strict,
 }
 
 SQL: dict[str, str] = {
-    "op3_embedding_near_dedup": embdedup.SQL,
+    "op3_embedding_near_dedup": embdedup.sql(),
+    "embedding_links_loose": embdedup.sql(LOOSE),
     "op5_suffix_array_dedup": suffix.SQL,
-    "op8_line_dedup": lines.SQL,
+    "op8_line_dedup": lines.sql(),
+    "line_dedup_strict": lines.sql(STRICT),
     "fingerprint_groups": fingerprint.GROUPS_SQL,
 }

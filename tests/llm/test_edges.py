@@ -1,11 +1,13 @@
 """Nulls, empty and long texts, repeated rows, ties, empty tables and clashing column names, for every operator."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from embervane.llm import bpe, embdedup, fingerprint, lines, minhash, packing, pii, quality, suffix, toxicity
 
-CLASH = "key sig root rank h n at lead doc digest canon k shard block tile_a term class value low hinted p rest drop row text_ group_id copies keep".split()
+CLASH = "key sig root rank h n at lead doc digest canon k shard block tile_a term class value low hinted p rest drop row text_ group_id copies keep first d left had clean __ev_drop __ev_clean __ev_key __key __rank __digest __k __d __left __clean __had".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in [*CLASH, "a.b"])
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
 SAME = " ".join(f"tok{i}" for i in range(80))
@@ -80,9 +82,12 @@ def test_embeddings(spark):
         (None, [1.0, 0.0], "x"), (6, [float("nan"), 1.0], "x"), (7, [1.0, 0.0, 0.0], "x"), (8, [1.0, None], "x"), (9, [-1.0, 0.0], "x"), (10, [1e-30, 0.0], "x"),
     ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id string")
-    out = {(r.id_a, r.id_b): r.similarity for r in embdedup.similar_pairs(df).collect()}
-    assert out == {(1, 2): 1.0, (1, 10): 1.0, (2, 10): 1.0}
-    assert embdedup.similar_pairs(df.limit(0)).count() == 0
+    out = {r.vec_id: (r.class_id, r.n_links) for r in embdedup.links(df).collect()}
+    assert out == {1: (1, 2), 2: (1, 2), 10: (1, 2)} | {i: (i, 0) for i in (3, 4, 5, 6, 7, 8, 9)}
+    assert embdedup.links(df.limit(0)).count() == 0
+    # an id with two vectors is in the class of both
+    two = spark.createDataFrame([(5, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [1.0, 0.01]), (8, [0.01, 1.0])], "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.class_id, r.n_links) for r in embdedup.links(two).collect()} == {5: (5, 2), 7: (5, 1), 8: (5, 1)}
 
 
 def test_pii(docs, empty):
@@ -133,6 +138,13 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_extra_columns_pass(docs):
+    """Columns that have the operators' own names keep their values."""
+    for out in (lines.line_dedup(docs, 0), pii.sanitised(docs), minhash.near_dedup(docs)):
+        rows = out.collect()
+        assert out.columns == docs.columns and rows and all(r[c] == "x" for r in rows for c in [*CLASH, "a.b"])
+
+
 def test_minhash(docs, empty):
     out = minhash.duplicates(docs).collect()
     assert [(r.doc_id, r.duplicate_of, r.group_size) for r in out] == [(1, 1, 2)]
@@ -148,3 +160,59 @@ def test_pii_key_without_digits(spark):
     assert pii.entities(text) == [(text.index(key), text.index(key) + 20, "SECRET")]
     out = pii.report(spark.createDataFrame([(1, text), (2, "nothing here")], "doc_id long, text string"))
     assert {r.doc_id: (r.text, r.n_entities) for r in out.collect()} == {1: (text.replace(key, "[SECRET]"), 1), 2: ("nothing here", 0)}
+
+
+def test_pii_hint_finds_all_that_the_patterns_find():
+    rng = random.Random(12)
+    parts = ["AKIA", "ASIA", "QWERTYUIOPASDFGH", "+", "٣٤", "+٤٩ ٣٠ ١٢٣٤ ٥٦٧٨", "a@b.cd", "token", "=", ":", "abcdefgh", "12", "-", ".", " ", " ", "\n", "\n", "é", "(212) 555-0101", "DE89 3704 0044 0532 0130 00", "10.0.0.1"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        every = []
+        for k, line in enumerate(text.split("\n")):
+            at, base = 0, sum(len(x) + 1 for x in text.split("\n")[:k])
+            while m := pii._ANY.search(line, at):
+                if pii._checked(m.lastgroup, m[0]):
+                    every.append((base + m.start(), base + m.end(), m.lastgroup))
+                    at = m.end()
+                else:
+                    at = m.start() + 1
+        assert pii.entities(text) == every, text
+
+
+def test_pii_digits_of_any_script(spark):
+    texts = ["call +٤٩ ٣٠ ١٢٣٤ ٥٦٧٨ now", "call +\U0001e4f4\U0001e4f9 \U0001e4f3\U0001e4f0 \U0001e4f1\U0001e4f2\U0001e4f3\U0001e4f4 now", "nothing é"]
+    out = pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in out.collect()} == {0: "call [PHONE] now", 1: "call [PHONE] now", 2: "nothing é"}
+
+
+def test_pii_case_is_told_apart_alike():
+    for word in ("ΑΣ", "İstanbul", "STRASSE", "Éa"):
+        assert pii.low(f"{word}.Βx {word} y").split(" ")[1] == pii.low(word) and pii.low(f"{word}.Βx").startswith(pii.low(word))
+
+
+def test_stages_of_the_pipeline(docs, empty, labels, spark, tmp_path):
+    import corpus_pipeline as pipe
+
+    labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    now, none = docs, empty
+    for name, stage in pipe.STAGES:
+        now, none = stage(spark, now, str(tmp_path)), stage(spark, none, str(tmp_path))
+        assert none.count() == 0, name
+        if name != "packing":
+            assert now.columns == docs.columns, name
+            now.write.parquet(str(tmp_path / name))
+            now = spark.read.parquet(str(tmp_path / name))
+            assert all(r[c] == "x" for r in now.collect() for c in CLASH), name
+    assert {r.doc_id for r in now.collect()} == {1, None, 5, 6, 7, 8, 9}  # blank texts went first, of the repeated row one stayed
+    rest = spark.read.parquet(str(tmp_path / "near_dedup"))
+    assert rest.where("doc_id = 1").count() == 1
+
+
+def test_repeated_rows_are_trained_on_once(spark):
+    texts = [f"word{i} " * 5 for i in range(30)]
+    many = spark.createDataFrame([(i % 30, texts[i % 30]) for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    a, b = quality.train(many, labels), quality.train(once, labels)
+    assert (a.weight == b.weight).all() and a.threshold == b.threshold
+    assert toxicity.train(many, labels) == toxicity.train(once, labels)

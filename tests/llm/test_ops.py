@@ -2,13 +2,18 @@
 
 import itertools
 import random
+import re
+import time
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -96,6 +101,28 @@ def test_toxicity_on_held_out_texts(spark):
     caught = [out[i] for i in held if toxic[i]]
     false = [out[i] for i in held if not toxic[i]]
     assert sum(caught) >= 0.9 * len(caught) and sum(false) <= 0.03 * len(false)
+    # the whole query against its definition, with dictionaries as a plain zstandard call takes them
+    for name, model in toxicity.train(docs, labels).items():
+        own = [i for i in range(900) if name in ("en", None)]
+        strategy, shortest = model.finder
+        how = zstandard.ZstdCompressionParameters(window_log=18, chain_log=16, hash_log=16, search_log=4, min_match=shortest, target_length=16, strategy=strategy, write_content_size=0, write_checksum=0, write_dict_id=0)
+        sides = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how) for d in (model.base, model.toxic + model.base)]
+        for i in own[::25]:
+            parts = re.findall(rb"(?s).{1,%d}\S*\s*" % toxicity.WINDOW, " ".join(texts[i].lower().split()).encode())
+            assert b"".join(parts).decode() == " ".join(texts[i].lower().split())
+            gains = [max(0, len(sides[0].compress(p)) - len(sides[1].compress(p))) for p in parts]
+            runs = [sum(gains[k : k + toxicity.RUN]) / (min(len(gains), toxicity.RUN) + toxicity.PRIOR) for k in range(max(1, len(gains) - toxicity.RUN + 1))]
+            whole = sum(gains) / (len(gains) + toxicity.PRIOR)
+            assert model.scorer()(texts[i]) == pytest.approx((whole, max(runs)))
+            if name == "en":
+                assert out[i] == (whole >= model.threshold or max(runs) >= model.run_threshold)
+    # a toxic passage in a very long document
+    long = prose(rng, 20_000, vocabulary).split()
+    clean = " ".join(long)
+    long[9000:9060] = [w for k in range(30) for w in (insults[k % 5], rng.choice(vocabulary))]
+    more = spark.createDataFrame([(5000, " ".join(long), "en"), (5001, clean, "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.toxic for r in toxicity.classify(docs.union(more), labels).where("doc_id >= 5000").collect()}
+    assert got == {5000: True, 5001: False}
 
 
 # -- 2 ------------------------------------------------------------------------------------------------------------
@@ -132,6 +159,22 @@ def test_bpe_long_pretokens(codec, known):
         assert ids.tolist() == known.encode_ordinary(text)
 
 
+def test_bpe_tells_colliding_pretokens_apart(codec, known):
+    """Thue-Morse strings of 2,048 letters, which a polynomial modulo 2**64 can't tell apart whatever its base."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    data, offsets = buffers(pa.array([f"{one} {two}", two, one]))
+    ids, ends = codec.encode(data, offsets)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [known.encode_ordinary(t) for t in (f"{one} {two}", two, one)]
+    h = SpanHash(data).of(offsets[:-1], offsets[1:])
+    assert len(set(h.tolist())) == 3
+    # and any spans of equal hashes
+    data = np.frombuffer(b"abcdabcxabcd" + bytes(8), np.uint8)
+    start, end = np.array([0, 4, 8, 8]), np.array([4, 8, 12, 11])
+    group = codec._distinct(data, start, end, np.zeros(4, np.uint64))[1]
+    assert group[0] == group[2] and len({int(group[0]), int(group[1]), int(group[3])}) == 3
+
+
 def test_bpe_on_documents(spark, known):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
@@ -140,18 +183,20 @@ def test_bpe_on_documents(spark, known):
 
 
 # -- 3 ------------------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("tile", [40, 10_000])
-def test_embedding_pairs_equal_brute_force(spark, tile):
+@pytest.mark.parametrize("tile_bytes", [4000, 10**7])
+def test_embedding_links_equal_brute_force(spark, tile_bytes):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 24))
     x = np.concatenate([base, base[:40] + rng.normal(size=(40, 24)) * np.linspace(0.05, 0.6, 40)[:, None], np.repeat(base[:2], 15, 0)]).astype(np.float32)
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
-    got = {(r.id_a, r.id_b): r.similarity for r in embdedup.similar_pairs(df, 0.95, tile=tile).collect()}
     d = x.astype(float)
     c = d @ d.T / np.outer(np.linalg.norm(d, axis=1), np.linalg.norm(d, axis=1))
-    want = {(i, j): c[i, j] for i in range(len(x)) for j in range(i + 1, len(x)) if c[i, j] >= 0.95}
-    assert got.keys() == want.keys() and len(want) > 100
-    assert max(abs(got[k] - want[k]) for k in want) < 1e-12
+    for threshold in (0.95, 0.5):
+        got = {r.vec_id: (r.class_id, r.n_links) for r in embdedup.links(df, threshold, tile_bytes).collect()}
+        near, u = c >= threshold, Union()
+        for i, j in zip(*np.nonzero(near)):
+            u.join(int(i), int(j))
+        assert got == {i: (u.find(i), int(near[i].sum()) - 1) for i in range(len(x))} and max(n for _, n in got.values()) > 10
 
 
 @settings(max_examples=40, deadline=None)
@@ -160,16 +205,13 @@ def test_quantisation_bound_holds(seed, dim):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(12, dim)) * rng.lognormal(0, 3, size=(12, 1))
     x[1] = x[0] + 1e-3 * rng.normal(size=dim)
-    q = embdedup.quantised.func(iter([pa.array(x.tolist(), pa.list_(pa.float64()))]))
-    rows = next(q).to_pylist()
-    codes = np.stack([np.frombuffer(r["q"], np.int8) for r in rows])
-    s, e = np.array([r["s"] for r in rows]), np.array([r["e"] for r in rows])
     unit = x / np.linalg.norm(x, axis=1)[:, None]
+    codes, s, e = embdedup.quantised(unit)
     approximate = np.outer(s, s) * (codes.astype(int) @ codes.T.astype(int))
     bound = (1 + e[:, None]) * e[None, :] + e[:, None]
     assert (np.abs(unit @ unit.T - approximate) <= bound).all()
-    i, j = embdedup.possible(codes, s, e, codes, s, e, 0.9)
-    assert {(a, b) for a, b in zip(*np.nonzero(unit @ unit.T >= 0.9))} <= set(zip(i.tolist(), j.tolist()))
+    found = {(int(a), int(b)) for i, j in embdedup.possible(codes, s, e, codes, s, e, 0.9) for a, b in zip(i, j)}
+    assert {(int(a), int(b)) for a, b in zip(*np.nonzero(unit @ unit.T >= 0.9))} <= found
 
 
 # -- 4 ------------------------------------------------------------------------------------------------------------
@@ -188,6 +230,8 @@ def private_corpus():
     texts[700] = "Clientele without an address"
     for i in range(800, 840):  # copies of one document are one observation: its rare words stay
         texts[i] = "seldomseen raritywords only@mail.example.com"
+    for i in range(900, 940):  # documents that share one address but have others, too, are many
+        texts[i] = f"severally aaa@mail.example.com zz{i}@mail.example.com"
     return texts
 
 
@@ -200,7 +244,7 @@ def test_pii_equals_brute_force(spark, broadcast_terms):
     for i, t in texts.items():
         own = set(pii._WORD.findall(pii.masked(t, found[i]).lower()))
         documents.update(own)
-        classes = {c: min(t[a:b] for a, b, k in found[i] if k == c) for _, _, c in found[i]}
+        classes = {c: frozenset(t[a:b] for a, b, k in found[i] if k == c) for _, _, c in found[i]}
         size.update(classes.keys())
         for c, v in classes.items():
             for w in own:
@@ -213,7 +257,12 @@ def test_pii_equals_brute_force(spark, broadcast_terms):
             if d >= pii.DISCLOSURE:
                 want[w, c] = d
     got = {(r.term, pii.CLASSES[r["class"]]): r.disclosure for r in pii.revealing_terms(docs, broadcast_terms=broadcast_terms).collect()}
-    assert got.keys() == want.keys() == {("clientele", "EMAIL")} and got == pytest.approx(want)
+    assert got.keys() == want.keys() == {("clientele", "EMAIL"), ("severally", "EMAIL")} and got == pytest.approx(want)
+    p = {c: n / len(texts) for c, n in size.items()}  # the measure itself, from its definition
+    for (w, c), d in got.items():
+        hits, n = len(values[w, c]), len(values[w, c]) + documents[w] - together[w, c]
+        low = min(x for x in np.linspace(0.001, 1, 100_000) if abs(hits / n - x) <= pii.Z * (x * (1 - x) / n) ** 0.5)
+        assert d == pytest.approx(np.log(low / p[c]) / -np.log(p[c]), abs=1e-3)
     out = {r.doc_id: r.text for r in pii.sanitised(docs, broadcast_terms=broadcast_terms).collect()}
     assert out[0].endswith("[EMAIL TERM] [EMAIL] commonplace") and out[1].endswith("commonplace [PHONE]") and out[700] == texts[700]
     assert out[800] == "seldomseen raritywords [EMAIL]"
@@ -280,6 +329,33 @@ def test_passages_equal_brute_force(spark, n, prefix, letters):
     texts[60], texts[61], texts[62] = texts[5], texts[5], " ".join(["same"] * 4 * n)
     got = {tuple(r) for r in suffix.repeated_passages(frame(spark, texts), n, prefix).collect()}
     assert got == windows_of(texts, n) and got
+    # the same when anchors are digested instead of sorted, and when text keys collide
+    assert {tuple(r) for r in suffix.repeated_passages(frame(spark, texts), n, prefix, hot_texts=3).collect()} == got
+    assert {tuple(r) for r in suffix.repeated_passages(frame(spark, texts), n, prefix, bits=3).collect()} == got
+
+
+def test_passages_with_control_signs(spark):
+    """A sign that no white space is stands inside words, whatever joins them."""
+    rng = random.Random(3)
+    texts = {}
+    for k in range(20):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        texts[2 * k] = " ".join(w)
+        texts[2 * k + 1] = " ".join(f"{a}\x01{b}" for a, b in zip(w[::2], w[1::2])) + " " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(30))
+    texts[100] = texts[101] = " ".join(["y" * 100 + str(i) for i in range(55)])  # long words
+    texts[102] = texts[100] + " more"
+    got = {tuple(r) for r in suffix.repeated_passages(frame(spark, texts)).collect()}
+    assert got == windows_of(texts, 50) == {(100, 0, 55, 100), (101, 0, 55, 100), (102, 0, 55, 100)}
+
+
+def test_leading_bytes_that_are_many(spark):
+    """Ranges stay right where all anchors begin alike."""
+    rng = random.Random(5)
+    word = lambda: f"wwwwwwwww{rng.randrange(30)}"
+    shared = [word() for _ in range(30)]
+    texts = {i: " ".join([word() for _ in range(20)] + shared[i % 9 :] + [word() for _ in range(20)]) for i in range(50)}
+    got = {tuple(r) for r in suffix.repeated_passages(frame(spark, texts), 8, 4).collect()}
+    assert got == windows_of(texts, 8) and got
 
 
 # -- 6 ------------------------------------------------------------------------------------------------------------
@@ -291,6 +367,57 @@ def test_quality_on_held_out_labels(spark):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.5 * len(bad)
 
 
+def grams(text):
+    """The features in plain Python: words, and n-grams of characters."""
+    out = [w.encode() for w in text.split()]
+    wide = f" {' '.join(text.split())} " if text.split() else ""
+    for n in quality.NGRAMS:
+        out += [wide[i : i + n] for i in range(len(wide) - n + 1) if " " not in wide[i + 1 : i + n - 1]]
+    return out
+
+
+def test_quality_learns_like_a_plain_loop(spark):
+    """The batched trainer against stochastic gradient descent written out, document by document."""
+    rng = random.Random(2)
+    texts = [prose(rng, rng.randint(5, 25), ["fine", "good", "éa", "nice"] if i % 2 else ["b@d", "###", "poor", "nice"]) for i in range(40)]
+    good = np.arange(40) % 2
+    model = quality.fit(texts, good, epochs=2)
+    rows, held = quality._sparse(texts), np.arange(40) % quality.HOLD_OUT == quality.HOLD_OUT - 1
+    for t, (bucket, share) in zip(texts, rows):
+        assert len(set(grams(t))) - 1 <= len(bucket) <= len(set(grams(t))) and share.sum() == pytest.approx(1)  # two may share a bucket
+    r = np.random.default_rng(7)
+    vectors = r.uniform(-1 / quality.DIM, 1 / quality.DIM, (1 << quality.BUCKET_BITS, quality.DIM)).astype(np.float32).astype(float)
+    layer, bias = np.zeros((quality.DIM, 2)), np.zeros(2)
+    order = r.permutation(np.flatnonzero(~held))
+    batches = [order[k : k + quality.BATCH] for k in range(0, len(order), quality.BATCH)]
+    epochs = max(2, -(-quality.MIN_STEPS // len(batches)))
+    for epoch in range(epochs):
+        step = quality.RATE * (1 - epoch / epochs)
+        for own in batches:
+            moves, to_layer, to_bias = [], np.zeros_like(layer), np.zeros(2)
+            for i in own:
+                bucket, share = rows[i]
+                hidden = share.astype(float) @ vectors[bucket]
+                p = np.exp(hidden @ layer + bias)
+                p /= p.sum()
+                p[good[i]] -= 1
+                p *= len(good) / (2 * (good == good[i]).sum()) / len(own)
+                moves.append((bucket, len(own) * np.outer(share, layer @ p)))
+                to_layer += np.outer(hidden, p)
+                to_bias += p
+            layer -= step * to_layer
+            bias -= step * to_bias
+            for bucket, move in moves:
+                vectors[bucket] -= step * move
+    want = []
+    for bucket, share in rows:
+        z = share.astype(float) @ vectors[bucket] @ layer + bias
+        want.append(1 / (1 + np.exp(z[0] - z[1])))
+    got = model.probability(*buffers(pa.array(texts)))
+    np.testing.assert_allclose(got, want, atol=2e-3)
+    assert min(got[good == 1]) > max(got[good == 0])
+
+
 def test_quality_scores_equal_the_full_model():
     rng = random.Random(3)
     texts = [prose(rng, rng.randint(0, 30), ["good", "fine", "éa", "###", "b@d"]) for _ in range(50)]
@@ -313,21 +440,49 @@ def test_fingerprints_equal_brute_force(spark):
     assert len({r.fingerprint for r in out}) == len(groups) and len(groups[fold("strasse fine")]) == 2 and len(groups[fold("étude")]) == 2
 
 
+def crc(data):
+    """A digest of few values, which texts share."""
+    return zlib.crc32(data).to_bytes(4)[:1]
+
+
+def test_fingerprints_survive_collisions(spark):
+    texts = {i: f"text {i // 2}" for i in range(600)} | {i: "one hot text" for i in range(1000, 1300)}
+    groups = defaultdict(list)
+    for i, t in texts.items():
+        groups[t].append(i)
+    out = fingerprint.fingerprints(frame(spark, texts), digest=crc).collect()
+    assert {(r.doc_id, r.group_id, r.copies, r.keep) for r in out} == {(i, min(g), len(g), i == min(g)) for g in groups.values() for i in g}
+    assert len({r.fingerprint for r in out}) <= 256
+
+
 # -- 8 ------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("broadcast_rows", [0, 1000])
 def test_lines_equal_brute_force(spark, broadcast_rows):
     rng = random.Random(9)
     pool = ["Menu", " menu ", "MENU", "Home \t page", "home page", "", "  ", "© all rights", *[f"line {i}" for i in range(60)]]
     texts = {i: "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 9))) for i in range(90)}
+    texts |= {i: "only in copies\nof one text" for i in range(200, 220)}  # one document as far as counts go
     norm = lambda x: " ".join(x.split()).lower()
     held = defaultdict(set)
     for i, t in texts.items():
         for x in t.split("\n"):
             held[norm(x)].add(i)
-    common = {k: min(v) for k, v in held.items() if k and len(v) > 7}
+    common = {k: min(v) for k, v in held.items() if k and len({texts[i] for i in v}) > 7}
     want = {i: "\n".join(x for x in t.split("\n") if common.get(norm(x), i) == i) for i, t in texts.items()}
-    out = lines.line_dedup(frame(spark, texts), share=0.0, min_docs=7, broadcast_rows=broadcast_rows)
+    out = lines.line_dedup(frame(spark, texts), min_docs=7, broadcast_rows=broadcast_rows)
     assert {r.doc_id: r.text for r in out.collect()} == want and common
+    nowhere = {i: "\n".join(x for x in t.split("\n") if norm(x) not in common) for i, t in texts.items()}
+    out = lines.line_dedup(frame(spark, texts), min_docs=7, broadcast_rows=broadcast_rows, keep_first=False)
+    assert {r.doc_id: r.text for r in out.collect()} == nowhere
+
+
+def test_lines_of_a_long_text(spark):
+    """Work on a text grows with the number of its lines, not with its square."""
+    body = "\n".join(f"line {i}" for i in range(100_000))
+    out = lines.line_dedup(frame(spark, {i: body + f"\nown {i}" for i in range(4)}), min_docs=3)
+    start = time.perf_counter()
+    assert {r.doc_id: r.text for r in out.collect()} == {0: body + "\nown 0"} | {i: f"own {i}" for i in (1, 2, 3)}
+    assert time.perf_counter() - start < 30
 
 
 # -- 9 ------------------------------------------------------------------------------------------------------------
@@ -379,6 +534,13 @@ def test_configurations_reach_the_optimum():
     assert times.sum() in range(98, 101) and (times @ patterns <= 100 + 2).all()  # 100 full bins of 50 + 34 + 16
 
 
+def test_packing_spreads_repeated_rows(spark):
+    """Rows of one (null) doc_id and length are in all shards."""
+    docs = spark.createDataFrame([(None, "a b c")] * 4000, "doc_id long, text string").repartition(4)
+    out = packing.pack(docs, capacity=16, shard_rows=1000)
+    assert out.count() == 4000 and out.select((F.col("bin_id") % 4).alias("s")).distinct().count() == 4 and out.groupBy("bin_id").sum("n_tokens").agg(F.max("sum(n_tokens)")).first()[0] <= 16
+
+
 def test_packing_places_every_token_once(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = packing.pack(docs, capacity=300, shard_rows=60).toPandas()
@@ -422,7 +584,8 @@ def test_near_groups_equal_brute_force(spark):
         texts[20_000 + k] = " ".join(base)
     got = {(r.doc_id, r.duplicate_of) for r in minhash.duplicates(frame(spark, texts)).collect()}
     want = brute_groups(texts)
-    assert len(got & want) >= 0.98 * len(want) and got <= {(a, b) for a, b in want} | {(a, b) for a, b in got if a >= 10_000}
+    assert got <= want and len(got) >= 0.98 * len(want)  # every one of them verified; a candidate may be missed
+    assert {(r.doc_id, r.duplicate_of) for r in minhash.duplicates(frame(spark, texts), bits=6).collect()} == got  # keys that collide
     kept = {r.doc_id for r in minhash.near_dedup(frame(spark, texts)).collect()}
     assert kept == set(texts) - {a for a, _ in got}
 
@@ -446,6 +609,23 @@ def test_signatures_estimate_similarity():
         assert abs((sig[a] == sig[b]).mean() - len(sets[a] & sets[b]) / len(sets[a] | sets[b])) < 0.15
 
 
+def test_word_digests():
+    rng = random.Random(7)
+    for _ in range(300):
+        texts = ["".join(rng.choice("ab .,é") for _ in range(rng.randint(0, 9))) for _ in range(6)]
+        for t, d in zip(texts, minhash.digests(*buffers(pa.array(texts)))):
+            w = " ".join(t.replace(".", " ").replace(",", " ").split(" ")).split()
+            assert d == (xxhash.xxh3_128_digest(" ".join(w).encode()) if w else None)
+
+
+def test_minhash_misses_no_more_than_chosen():
+    """The chance of all batches together."""
+    least = minhash.least_matches(0.5, 0.05)
+    hits = np.random.default_rng(3).random((20_000, minhash.HASHES)) < 0.5
+    counts = hits.cumsum(1)[:, minhash.BATCH - 1 :: minhash.BATCH]
+    assert (counts < least).any(1).mean() <= 0.05
+
+
 def test_minhash_crowded_buckets(spark):
     """Near pairs in a crowd of texts that share a passage but are no near copies: their buckets hold hundreds of nodes."""
     rng = random.Random(11)
