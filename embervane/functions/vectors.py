@@ -112,17 +112,23 @@ def bf16_decode(code: Column) -> Column:
 
 @F.arrow_udf(T.BinaryType())
 def to_blob(vectors: pa.Array) -> pa.Array:
-    """Little-endian float32 bytes of each vector."""
-    return pa.array([None if v is None else np.asarray(v, "<f4").tobytes() for v in vectors.to_pylist()], pa.binary())
+    """Little-endian float32 bytes of each vector; a null element is NaN."""
+    flat = vectors.flatten().cast(pa.float32()).to_numpy(zero_copy_only=False)
+    sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = 4 * np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(vectors), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat, "<f4"))])
+    return pa.compute.if_else(vectors.is_valid(), raw.cast(pa.binary()), pa.scalar(None, pa.binary()))
 
 
 @F.arrow_udf(T.ArrayType(T.FloatType()))
 def from_blob(blobs: pa.Array) -> pa.Array:
     """The vectors of ``to_blob``; a length that is no multiple of 4 is an error."""
-    out = []
-    for b in blobs.to_pylist():
-        if b is not None and len(b) % 4:
-            raise ValueError(f"a vector blob has {len(b)} bytes, no multiple of 4")
-        out.append(None if b is None else np.frombuffer(b, "<f4"))
-    return pa.array(out, pa.list_(pa.float32()))
-
+    sizes = pa.compute.binary_length(blobs).fill_null(0).to_numpy(zero_copy_only=False)
+    if (odd := sizes[sizes % 4 != 0]).size:
+        raise ValueError(f"a vector blob has {odd[0]} bytes, no multiple of 4")
+    whole = blobs.fill_null(b"") if blobs.null_count else blobs
+    _, offsets, data = whole.buffers()
+    begin = np.frombuffer(offsets, np.int32)[whole.offset] if len(whole) else 0
+    flat = np.frombuffer(data, np.uint8)[begin : begin + sizes.sum()].copy().view("<f4") if data is not None else np.zeros(0, "<f4")
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes // 4)]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(flat), mask=blobs.is_null() if blobs.null_count else None)

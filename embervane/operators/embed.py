@@ -103,7 +103,8 @@ class Embedder:
                     out[i] = v
                 yield pa.array(out, kind)
 
-        return run(piece_ids(words, self.vocab, spark))
+        # not deterministic as far as the optimiser knows: no filter on the vector is pushed through, which would run the model again
+        return run.asNondeterministic()(piece_ids(words, self.vocab, spark))
 
     def with_embeddings(self, df: DataFrame, text: str = "text", out: str = "embedding", options: EmbedOptions | None = None) -> DataFrame:
         return df.withColumn(out, self.column(F.col(text), df.sparkSession, options))

@@ -5,7 +5,9 @@ A matrix of any size is a table; products are joins on the inner index and sums,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import TensorError
@@ -16,6 +18,53 @@ def long_form(df: DataFrame, row: str, vector: str) -> DataFrame:
     return df.select(F.col(row).cast("long").alias("i"), F.posexplode(F.col(vector).cast("array<double>")).alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), "v")
 
 
+def from_values(spark: SparkSession, values: Sequence[float], rows: int, columns: int) -> DataFrame:
+    """(i, j, v) of row-major values; their number must be that of the shape."""
+    if rows < 0 or columns < 0 or len(values) != rows * columns:
+        raise TensorError(f"{len(values)} values don't fill {rows} x {columns}")
+    return spark.createDataFrame([(k // columns, k % columns, float(x)) for k, x in enumerate(values)], "i long, j long, v double")
+
+
+def full(spark: SparkSession, rows: int, columns: int, value: float) -> DataFrame:
+    """(i, j, v) with the same value everywhere: generated by the executors, so of any size."""
+    if rows < 0 or columns < 0:
+        raise TensorError("a dimension can't be negative")
+    cells = spark.range(rows * columns)
+    return cells.select(F.floor(F.col("id") / max(columns, 1)).alias("i"), (F.col("id") % max(columns, 1)).alias("j"), F.lit(float(value)).alias("v"))
+
+
+def zeros(spark: SparkSession, rows: int, columns: int) -> DataFrame:
+    return full(spark, rows, columns, 0.0)
+
+
+def ones(spark: SparkSession, rows: int, columns: int) -> DataFrame:
+    return full(spark, rows, columns, 1.0)
+
+
+def get(matrix: DataFrame, i: int, j: int) -> DataFrame:
+    """(v): one cell; no row outside the shape. The filter reaches the scan."""
+    return matrix.where((F.col("i") == i) & (F.col("j") == j)).select("v")
+
+
+def set_cell(matrix: DataFrame, i: int, j: int, value: float) -> DataFrame:
+    """The matrix with one cell changed; unchanged if it has no such cell."""
+    here = (F.col("i") == i) & (F.col("j") == j)
+    return matrix.select("i", "j", F.when(here, F.lit(float(value))).otherwise(F.col("v")).alias("v"))
+
+
+def equal(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(equal): one row, whether both have the same cells with the same values; NaN equals nothing."""
+    both = a.select("i", "j", F.col("v").alias("__a")).join(b.select("i", "j", F.col("v").alias("__b")), ["i", "j"], "full")
+    odd = F.coalesce((F.col("__a") != F.col("__b")) | F.isnan("__a") | F.isnan("__b"), F.lit(True))
+    return both.agg((F.coalesce(F.max(odd.cast("int")), F.lit(0)) == 0).alias("equal"))
+
+
+def shape(matrix: DataFrame) -> DataFrame:
+    """(rank, rows, columns, numel) of a dense matrix that begins at (0, 0)."""
+    n = F.coalesce(F.max("i") + 1, F.lit(0)).cast("long"), F.coalesce(F.max("j") + 1, F.lit(0)).cast("long")
+    return matrix.agg(F.lit(2).alias("rank"), n[0].alias("rows"), n[1].alias("columns")).withColumn("numel", F.col("rows") * F.col("columns"))
+
+
 def vectors(matrix: DataFrame) -> DataFrame:
     """(i, vector) from long form."""
     cells = F.array_sort(F.collect_list(F.struct("j", "v")))

@@ -88,25 +88,35 @@ def word_pieces(words: Column, vocab: Vocab, spark: SparkSession) -> Column:
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, memo = shared.value, {}
+        names = pa.array(own.tokens, pa.string())
         for lists in batches:
-            out = []
-            for row in lists.to_pylist():
-                if row is None:
-                    out.append(None)
-                    continue
-                pieces = []
-                for word in row:
-                    if word not in memo:
-                        if len(memo) > _MEMO:
-                            memo.clear()
-                        memo[word] = own.pieces(word)
-                    pieces += memo[word]
-                out.append(pieces)
-            yield pa.array(out, pa.list_(pa.string()))
+            ends, values, mask = _pieces(lists, own, memo)
+            yield pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(values)), mask=mask)
 
     return cut(words)
 
 
+def _pieces(lists: pa.Array, vocab: Vocab, memo: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray, pa.Array | None]:
+    """(row ends, piece ids, nulls) of lists of words: the batch's distinct words are cut once each; then one gather."""
+    flat = lists.flatten().dictionary_encode()
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    if len(memo) > _MEMO:
+        memo.clear()
+    cut = []
+    for word in flat.dictionary.to_pylist():
+        if word not in memo:
+            memo[word] = [vocab.ids[p] for p in vocab.pieces(word)]
+        cut.append(memo[word])
+    count = np.array([len(c) for c in cut], np.int64)
+    values = np.array([i for c in cut for i in c], np.int32)
+    which = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    n = count[which] if len(which) else np.zeros(0, np.int64)
+    at = np.concatenate([[0], np.cumsum(n)])
+    source = np.repeat((np.cumsum(count) - count)[which] - at[:-1], n) + np.arange(at[-1]) if len(which) else np.zeros(0, np.int64)
+    ends = at[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
+    return ends, values[source], lists.is_null() if lists.null_count else None
+
+
 def encode(text: Column, vocab: Vocab, spark: SparkSession, max_length: int = 128, pad: bool = True, do_lower_case: bool = True) -> Column:
     """struct(input_ids, attention_mask, token_type_ids): [CLS] pieces [SEP], cut and padded to ``max_length``.
 
@@ -138,25 +148,8 @@ def piece_ids(words: Column, vocab: Vocab, spark: SparkSession) -> Column:
     def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, memo = shared.value, {}
         for lists in batches:
-            # distinct words of the batch, each cut once; then one gather
-            flat = lists.flatten().dictionary_encode()
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            if len(memo) > _MEMO:
-                memo.clear()
-            cut = []
-            for word in flat.dictionary.to_pylist():
-                if word not in memo:
-                    memo[word] = [own.ids[p] for p in own.pieces(word)]
-                cut.append(memo[word])
-            count = np.array([len(c) for c in cut], np.int64)
-            values = np.array([i for c in cut for i in c], np.int32)
-            which = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            n = count[which] if len(which) else np.zeros(0, np.int64)
-            at = np.concatenate([[0], np.cumsum(n)])
-            source = np.repeat((np.cumsum(count) - count)[which] - at[:-1], n) + np.arange(at[-1]) if len(which) else np.zeros(0, np.int64)
-            ends = at[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
-            mask = lists.is_null() if lists.null_count else None
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(values[source]), mask=mask)
+            ends, values, mask = _pieces(lists, own, memo)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=mask)
 
     return look(words)
 

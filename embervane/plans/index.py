@@ -12,7 +12,7 @@ from ..errors import ConfigError, InvalidInput
 from ..functions.text import CHUNK_OVERLAP, CHUNK_SIZE, chunk_array, truncate_display
 from ..operators.embed import Embedder
 from ..operators.search import search
-from ..sources.files import read_files
+from ..sources.files import is_remote, read_files, read_tree
 from ..sources.store import ChunkStore
 
 MODEL_KEY = "model_dir"
@@ -33,9 +33,10 @@ def embed_chunks(files: DataFrame, model: Embedder) -> DataFrame:
 def index_directory(spark: SparkSession, root: str, store: ChunkStore, model: Embedder, recursive: bool = True) -> int:
     """Replace the store's chunks by those of the folder; the number of chunks.
 
-    The root is checked first and the old index stays until the new one is written in full.
+    The root is checked first and the old index stays until the new one is written in full. A root with a scheme (``s3a://``,
+    ``hdfs://``) is listed and read by Spark, one of the local file system by ``read_files``, hidden files included.
     """
-    files = read_files(spark, root, recursive)
+    files = read_tree(spark, root, recursive) if is_remote(root) else read_files(spark, root, recursive)
     store.replace_chunks(embed_chunks(files, model))
     return store.count()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Callable
@@ -19,9 +20,10 @@ from ..operators import tokenizer as tk
 from ..operators.embed import Embedder
 from ..operators.pooling import cls_pool, mean_pool
 from ..options import EmbedOptions
+from ..sources.files import spread
 from ..sources.model import ModelConfig, seeded
 from ..sources.safetensors import SafeTensors, write
-from ..sources.store import ChunkStore, upsert
+from ..sources.store import ChunkStore, shared_folder, upsert
 from ..streaming.edge import respond
 from .index import chunked
 
@@ -34,9 +36,10 @@ TOKENS = (
     "##th ##er ##an ##en ##re ##he ##ed ##es ##ing ##ion ##tion ##nd ##st ##at ##or ##ti ##ou ##ea ##sh ##ly ##wh ##ble ##nt ##ch ##le ##on "
     "##in ##ha ##the ##au ##oi ##ai ##aux ##que ##ment ##ie ##ge ##be ##ver ##ung ##ado ##os ##cion ##as"
 ).split()
-MAX_LENGTH = 64
+MAX_LENGTH = 128
 PREFIX = 120
 TOP = 5
+EVERY = 50
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -54,7 +57,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    """Texts are work for every core, in however few row groups they are."""
+    return spread(table(spark, sf_dir, "documents"))
 
 
 @cache
@@ -161,37 +165,42 @@ SQL["wordpiece_native"] = SQL["wordpiece"]
 _VOCAB = "[" + ", ".join(f"'{_quote(x)}'" for x in TOKENS) + "]"
 
 
-def _ids_sql(n: int) -> str:
-    """Word-piece ids of each document's first ``n - 2`` pieces, as table ``every``."""
+def _ids_sql(n: int = MAX_LENGTH) -> str:
+    """Word-piece ids of each chunk's first ``n - 2`` pieces, as table ``every``."""
     return f"""
-WITH {_WORDS}, cut AS (SELECT doc_id, unnest(words[1:{n - 2}]) AS w, generate_subscripts(words[1:{n - 2}], 1) AS i FROM words),
-pieces AS (SELECT doc_id, i, {_pieces_sql("w")} AS p FROM cut),
+{_CHUNKS}, words AS (SELECT doc_id, chunk_index, {_TOKENS} AS words FROM chunk),
+cut AS (SELECT doc_id, chunk_index, unnest(words[1:{n - 2}]) AS w, generate_subscripts(words[1:{n - 2}], 1) AS i FROM words),
+pieces AS (SELECT doc_id, chunk_index, i, {_pieces_sql("w")} AS p FROM cut),
 ids AS (
-  SELECT doc_id, flatten(list(list_transform(p, lambda x: list_position({_VOCAB}, x) - 1) ORDER BY i))[1:{n - 2}] AS ids
-  FROM pieces GROUP BY doc_id),
-every AS (SELECT d.doc_id, coalesce(ids, CAST([] AS INTEGER[])) AS ids FROM documents d LEFT JOIN ids USING (doc_id))
+  SELECT doc_id, chunk_index, flatten(list(list_transform(p, lambda x: list_position({_VOCAB}, x) - 1) ORDER BY i))[1:{n - 2}] AS ids
+  FROM pieces GROUP BY doc_id, chunk_index),
+every AS (SELECT c.doc_id, c.chunk_index, c.text, coalesce(ids, CAST([] AS INTEGER[])) AS ids FROM chunk c LEFT JOIN ids USING (doc_id, chunk_index))
 """
 
 
-_IDS = _ids_sql(MAX_LENGTH)
+_IDS = _ids_sql()
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunked(docs(spark, d).select("doc_id", "text"))
 
 
 def encoded(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", tk.encode(F.col("text"), vocab(), spark, MAX_LENGTH).alias("e"))
+    return chunks(spark, d).select("doc_id", "chunk_index", tk.encode(F.col("text"), vocab(), spark, MAX_LENGTH).alias("e"))
 
 
 @query(
     "encode_ids",
-    f"""{_IDS} SELECT doc_id, array_to_string(list_concat(list_concat([{vocab().cls_id}], ids), [{vocab().sep_id}]), ' ')
+    f"""{_IDS} SELECT doc_id, chunk_index, array_to_string(list_concat(list_concat([{vocab().cls_id}], ids), [{vocab().sep_id}]), ' ')
     || repeat(' {vocab().pad_id}', {MAX_LENGTH} - 2 - len(ids)) AS input_ids FROM every""",
 )
 def encode_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encoded(spark, d).select("doc_id", F.array_join(F.col("e.input_ids").cast("array<string>"), " ").alias("input_ids"))
+    return encoded(spark, d).select("doc_id", "chunk_index", F.array_join(F.col("e.input_ids").cast("array<string>"), " ").alias("input_ids"))
 
 
-@query("attention_mask_len", f"{_IDS} SELECT doc_id, CAST(len(ids) + 2 AS BIGINT) AS n FROM every")
+@query("attention_mask_len", f"{_IDS} SELECT doc_id, chunk_index, CAST(len(ids) + 2 AS BIGINT) AS n FROM every")
 def attention_mask_len(spark: SparkSession, d: str) -> DataFrame:
-    return encoded(spark, d).select("doc_id", F.aggregate("e.attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n"))
+    return encoded(spark, d).select("doc_id", "chunk_index", F.aggregate("e.attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n"))
 
 
 @query("vocab_lookup", f"WITH {_WORDS}, one AS (SELECT DISTINCT token FROM token) SELECT token, CAST(coalesce(list_position({_VOCAB}, token) - 1, {vocab().unk_id}) AS INTEGER) AS token_id FROM one")
@@ -271,6 +280,47 @@ def slice_first(spark: SparkSession, d: str) -> DataFrame:
     return la.slice_first(matrix(spark, d), 7)
 
 
+@query("tensor_shape", f"{_M} SELECT 2 AS rank, max(i) + 1 AS rows, max(j) + 1 AS columns, (max(i) + 1) * (max(j) + 1) AS numel FROM m")
+def tensor_shape(spark: SparkSession, d: str) -> DataFrame:
+    return la.shape(matrix(spark, d))
+
+
+@query("tensor_get", f"{_M} SELECT v FROM m WHERE i = 7 AND j = 3")
+def tensor_get(spark: SparkSession, d: str) -> DataFrame:
+    return la.get(matrix(spark, d), 7, 3)
+
+
+@query("tensor_set", f"{_M} SELECT i, j, CASE WHEN i = 7 AND j = 3 THEN 42.5 ELSE v END AS v FROM m")
+def tensor_set(spark: SparkSession, d: str) -> DataFrame:
+    return la.set_cell(matrix(spark, d), 7, 3, 42.5)
+
+
+@query("tensor_equal", "SELECT 'itself' AS with_what, true AS equal UNION ALL SELECT 'one cell changed', false UNION ALL SELECT 'transposed twice', true UNION ALL SELECT 'transposed', false")
+def tensor_equal(spark: SparkSession, d: str) -> DataFrame:
+    m = matrix(spark, d)
+    others = {"itself": m, "one cell changed": la.set_cell(m, 7, 3, 42.5), "transposed twice": la.transpose(la.transpose(m)), "transposed": la.transpose(m)}
+    out = [la.equal(m, other).select(F.lit(name).alias("with_what"), "equal") for name, other in others.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query(
+    "tensor_constructors",
+    """SELECT 'full' AS made, i // 3 AS i, i % 3 AS j, 2.5::DOUBLE AS v FROM range(12) AS r(i) UNION ALL SELECT 'ones', i // 3, i % 3, 1.0 FROM range(12) AS r(i)
+    UNION ALL SELECT 'zeros', i // 3, i % 3, 0.0 FROM range(12) AS r(i) UNION ALL SELECT 'values', i // 3, i % 3, i / 2.0 FROM range(12) AS r(i)""",
+)
+def tensor_constructors(spark: SparkSession, d: str) -> DataFrame:
+    made = {"full": la.full(spark, 4, 3, 2.5), "ones": la.ones(spark, 4, 3), "zeros": la.zeros(spark, 4, 3), "values": la.from_values(spark, [k / 2 for k in range(12)], 4, 3)}
+    out = [m.select(F.lit(name).alias("made"), "i", "j", "v") for name, m in made.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query("flat_index", f"{_M} SELECT i, j, i * 64 + j AS place FROM m")
+def flat_index(spark: SparkSession, d: str) -> DataFrame:
+    m = matrix(spark, d)
+    rows = m.agg(F.max("i") + 1).first()[0]
+    return m.select("i", "j", la.flat_index([F.col("i"), F.col("j")], [rows, 64]).alias("place"))
+
+
 @query("stack", f"{_M} SELECT CAST(0 AS BIGINT) AS k, i, j, v FROM m UNION ALL SELECT CAST(1 AS BIGINT), j, i, v FROM m")
 def stack(spark: SparkSession, d: str) -> DataFrame:
     m = matrix(spark, d)
@@ -328,6 +378,10 @@ def batched_matmul_by_label(spark: SparkSession, d: str) -> DataFrame:
     return rounded(la.batched_matmul(turned, m)).withColumnRenamed("b", "label")
 
 
+QUERIES["gram_by_label"] = lambda spark, d: rounded(la.gram(embeddings(spark, d), "embedding", ["label"]))
+SQL["gram_by_label"] = SQL["batched_matmul_by_label"]
+
+
 @query("mean_pool_by_label", f"{_E}, m AS (SELECT label, unnest(range(0, len(v))) AS d, unnest(v) AS v FROM e) SELECT label, d, {_round('avg(v)')} AS v FROM m GROUP BY ALL")
 def mean_pool_by_label(spark: SparkSession, d: str) -> DataFrame:
     return rounded(mean_pool(embeddings(spark, d), "label", "embedding"))
@@ -342,11 +396,12 @@ def cls_pool_by_label(spark: SparkSession, d: str) -> DataFrame:
 _COSINE = "list_dot_product(a.v, b.v) / greatest(sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)), 1e-12)"
 
 
-@query("cosine_pairs", f"{_E} SELECT a.vec_id AS a, b.vec_id AS b, {_round(_COSINE)} AS score FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id")
+@query("cosine_pairs", f"{_E} SELECT a.vec_id AS a, b.vec_id AS b, {_round(_COSINE)} AS score FROM e a JOIN e b ON len(a.v) = len(b.v) WHERE a.vec_id % {EVERY} = 0")
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """A set of queries, each vector whose id is divisible by 50, against all vectors."""
     e = embeddings(spark, d)
-    a, b = e.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return rounded(a.join(b, "label").where("a < b").select("a", "b", v.cosine(F.col("x"), F.col("y")).alias("score")), "score")
+    asked = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return rounded(s.score_join(asked, e.select(F.col("vec_id").alias("id"), "embedding")).select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score"), "score")
 
 
 @query(
@@ -360,9 +415,11 @@ def cosine_top_k(spark: SparkSession, d: str) -> DataFrame:
     return rounded(s.top_k_join(e.select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("id"), "embedding"), TOP), "score")
 
 
-@query("dim_filter", "SELECT vec_id FROM embeddings WHERE len(embedding) = 64")
+@query("dim_filter", "SELECT vec_id FROM embeddings WHERE len(embedding[1:62 + vec_id % 3]) = 64")
 def dim_filter(spark: SparkSession, d: str) -> DataFrame:
-    return s.dim_filter(embeddings(spark, d), 64).select("vec_id")
+    """Vectors cut to 62, 63 and 64 elements, of which the last stay."""
+    cut = F.slice("embedding", F.lit(1), (F.col("vec_id") % 3 + 62).cast("int"))
+    return s.dim_filter(embeddings(spark, d).select("vec_id", cut.alias("embedding")), 64).select("vec_id")
 
 
 def _half(name: str, decode, bits: int, bias: int) -> None:
@@ -398,14 +455,13 @@ def meta_upsert(spark: SparkSession, d: str) -> DataFrame:
     return upsert(old, new.unionByName(more), "key")
 
 
+def _store(spark: SparkSession) -> ChunkStore:
+    return ChunkStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+
+
 def _stored(spark: SparkSession, d: str) -> ChunkStore:
     """Chunks with a small vector each, written to a new store in the session's shared folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named is None:
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="embervane-store-")
-    store = ChunkStore(spark, f"{named}/store-{uuid.uuid4().hex}")
+    store = _store(spark)
     rows = chunked(docs(spark, d).select("doc_id", "source", "text"))
     path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
     vector = F.array(F.col("chunk_index").cast("float"), F.char_length("text").cast("float"))
@@ -423,16 +479,48 @@ def chunk_count(spark: SparkSession, d: str) -> DataFrame:
     return _stored(spark, d).chunks().agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("store_lookup", "SELECT r_name AS key, CAST(r_regionkey + 10 AS VARCHAR) AS value FROM region UNION ALL SELECT 'NOWHERE', NULL")
+def store_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Keys set, set again, and looked up one by one."""
+    store = _store(spark)
+    store.init()
+    known = {r.r_name: r.r_regionkey for r in table(spark, d, "region").collect()}  # a handful by definition
+    for shift in (0, 10):
+        for name, key in known.items():
+            store.set_meta(name, str(key + shift))
+    return spark.createDataFrame([(name, store.get_meta(name)) for name in [*known, "NOWHERE"]], "key string, value string")
+
+
+@query("store_append_truncate", "SELECT CAST(10 AS BIGINT) AS first, CAST(15 AS BIGINT) AS more, CAST(0 AS BIGINT) AS cleared, CAST(5 AS BIGINT) AS again")
+def store_append_truncate(spark: SparkSession, d: str) -> DataFrame:
+    store = _store(spark)
+    store.init()
+
+    def rows(n: int) -> DataFrame:
+        return spark.range(n).select(F.format_string("f%d", "id").alias("path"), F.lit(0).alias("chunk_index"), F.lit("text").alias("text"), F.array(F.lit(1.0)).alias("embedding"))
+
+    store.replace_chunks(rows(10))
+    counts = [store.count()]
+    for step in (lambda: store.append_chunks(rows(5)), store.clear_chunks, lambda: store.append_chunks(rows(5))):
+        step()
+        counts.append(store.count())
+    return spark.createDataFrame([tuple(counts)], "first long, more long, cleared long, again long")
+
+
+_BLANK_TEXT = f"coalesce({_trim('text')}, '') = ''"
+
+
 @query(
     "edge_request",
-    """SELECT conv_id, turn, CASE WHEN role <> 'user' THEN 405 WHEN turn % 4 <> 0 THEN 400 ELSE 200 END AS status,
-    CASE WHEN role <> 'user' THEN 'POST required' WHEN turn % 4 = 1 THEN 'invalid JSON body' WHEN turn % 4 > 1 THEN 'text field required' ELSE '' END AS error,
-    CASE WHEN role = 'user' AND turn % 4 = 0 THEN 16 ELSE 0 END AS dim FROM conversations""",
+    f"""SELECT conv_id, turn, CASE WHEN role <> 'user' AND turn % 3 = 0 THEN 405 WHEN role <> 'user' OR {_BLANK_TEXT} THEN 400 ELSE 200 END AS status,
+    CASE WHEN role = 'user' AND NOT {_BLANK_TEXT} THEN '' WHEN role <> 'user' AND turn % 3 = 0 THEN 'POST required' WHEN role <> 'user' AND turn % 3 = 1 THEN 'invalid JSON body'
+    ELSE 'text field required' END AS error, CASE WHEN role = 'user' AND NOT {_BLANK_TEXT} THEN 16 ELSE 0 END AS dim FROM conversations""",
 )
 def edge_request(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.col("turn") % 4
-    body = F.when(kind == 0, F.to_json(F.struct("text"))).when(kind == 1, F.lit("{no json")).when(kind == 2, F.lit('{"text": "  "}')).otherwise(F.lit('{"text": 5}'))
-    requests = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", "POST").otherwise("GET").alias("method"), body.alias("body"))
+    """Every turn of a user is a request; those of others stand for requests of a wrong method, without JSON, or without a text."""
+    kind, user = F.col("turn") % 3, F.col("role") == "user"
+    body = F.when(user | (kind == 0), F.to_json(F.struct("text"))).when(kind == 1, F.lit("{no json")).otherwise(F.lit('{"text": 5}'))
+    requests = spread(table(spark, d, "conversations")).select("conv_id", "turn", F.when(user | (kind != 0), "POST").otherwise("GET").alias("method"), body.alias("body"))
     answers = respond(requests, model())
     error, dim = F.get_json_object("response", "$.error"), F.get_json_object("response", "$.dim").cast("int")
     return answers.select("conv_id", "turn", "status", F.coalesce(error, F.lit("")).alias("error"), F.coalesce(dim, F.lit(0)).alias("dim"))
@@ -440,83 +528,133 @@ def edge_request(spark: SparkSession, d: str) -> DataFrame:
 
 @cache
 def tiny() -> Embedder:
-    """One layer, small enough for its weights to be written out in SQL."""
-    config = ModelConfig(len(TOKENS), 8, 1, 2, 16, 16)
+    """One layer."""
+    config = ModelConfig(len(TOKENS), 8, 1, 2, 16, MAX_LENGTH)
     return Embedder(config, vocab(), SafeTensors(write(seeded(config, 2))))
 
 
-def _encoder_sql() -> str:
-    """Tokens, embeddings, one encoder layer, mean pooling and normalisation as joins, sums and windows."""
-    m = tiny()
-    w, layer, eps = m.weights, m.weights.layers[0], m.config.layer_norm_eps
-    heads, width = m.config.num_attention_heads, m.config.head_dim
+@cache
+def distilled() -> Embedder:
+    """The other family, from the bytes of its three files."""
+    config = ModelConfig(len(TOKENS), 8, 2, 2, 16, MAX_LENGTH, model_type="distilbert")
+    text = json.dumps({k: x for k, x in vars(config).items() if x is not None})
+    return Embedder.from_bytes(text.encode(), "".join(f"{x}\n" for x in TOKENS).encode(), write(seeded(config, 3)))
+
 
-    def values(x: np.ndarray) -> str:
-        cells = x if x.ndim == 2 else x[None]
-        return "(VALUES " + ", ".join(f"({i}, {j}, {float(c)!r}::DOUBLE)" for i, row in enumerate(cells) for j, c in enumerate(row)) + ") AS t(i, j, w)"
+def _numbers(x: np.ndarray) -> str:
+    return "[" + ", ".join(f"{float(c):.17e}" for c in x) + "]"
+
+
+def _encoder_sql(m: Embedder, final: str) -> str:
+    """Tokens, embeddings, all encoder layers over lists; the last table is ``y`` (doc_id, chunk_index, p, v)."""
+    w, config = m.weights, m.config
+    h, heads, width = config.hidden_size, config.num_attention_heads, config.head_dim
+    key = "doc_id, chunk_index"
+    added = w.positions.astype(float) + (w.types[0].astype(float) if w.types is not None else 0.0)
+
+    def each(n: int, cell) -> str:
+        return "[" + ", ".join(cell(i) for i in range(1, n + 1)) + "]"
+
+    def rows(x: np.ndarray, name: str) -> str:
+        return f"{name}(i, w) AS (VALUES " + ", ".join(f"({i}, {_numbers(row)})" for i, row in enumerate(x)) + ")"
+
+    def linear(x: str, matrix: np.ndarray, bias: np.ndarray) -> str:
+        return "[" + ", ".join(f"list_dot_product({_numbers(matrix[:, i])}, {x}) + {float(bias[i]):.17e}" for i in range(matrix.shape[1])) + "]"
 
     parts = [
-        f"tok AS (SELECT doc_id, unnest(range(0, len(ids) + 2)) AS p, unnest(list_concat(list_concat([{m.vocab.cls_id}], ids), [{m.vocab.sep_id}])) AS id FROM every)",
-        f"x0 AS (SELECT doc_id, p, a.j AS d, a.w + b.w + c.w AS v FROM tok JOIN {values(w.words).replace('AS t(', 'AS a(')} ON a.i = id "
-        f"JOIN {values(w.positions).replace('AS t(', 'AS b(')} ON b.i = p AND b.j = a.j JOIN {values(w.types[0]).replace('AS t(', 'AS c(')} ON c.j = a.j)",
-    ]
+        rows(w.words, "word"), rows(added, "place"),
+        f"tok AS (SELECT {key}, unnest(range(0, len(ids) + 2)) AS p, unnest(list_concat(list_concat([{m.vocab.cls_id}], ids), [{m.vocab.sep_id}])) AS id FROM every)",
+        f"x AS (SELECT {key}, p, {each(h, lambda i: f'a.w[{i}] + b.w[{i}]')} AS v FROM tok JOIN word a ON a.i = id JOIN place b ON b.i = p)",
+    ]
 
     def norm(out: str, of: str, gamma: np.ndarray, beta: np.ndarray) -> None:
-        over = "OVER (PARTITION BY doc_id, p)"
-        parts.append(f"{out}_n AS (SELECT doc_id, p, d, (v - avg(v) {over}) / sqrt(var_pop(v) {over} + {eps!r}) AS v FROM {of})")
-        parts.append(f"{out} AS (SELECT doc_id, p, d, v * g.w + b.w AS v FROM {out}_n JOIN {values(gamma).replace('AS t(', 'AS g(')} ON g.j = d JOIN {values(beta).replace('AS t(', 'AS b(')} ON b.j = d)")
-
-    def linear(out: str, of: str, matrix: np.ndarray, bias: np.ndarray) -> None:
-        parts.append(f"{out}_s AS (SELECT doc_id, p, j AS d, sum(v * w) AS v FROM {of} JOIN {values(matrix)} ON i = d GROUP BY doc_id, p, j)")
-        parts.append(f"{out} AS (SELECT doc_id, p, d, v + w AS v FROM {out}_s JOIN {values(bias)} ON j = d)")
-
-    def added(out: str, a: str, b: str) -> None:
-        parts.append(f"{out} AS (SELECT a.doc_id, a.p, a.d, a.v + b.v AS v FROM {a} a JOIN {b} b USING (doc_id, p, d))")
-
-    norm("x1", "x0", w.gamma, w.beta)
-    for name in "qkv":
-        linear(name, "x1", getattr(layer, name), getattr(layer, f"{name}_bias"))
-    parts += [
-        f"s AS (SELECT q.doc_id, q.p, k.p AS kp, q.d // {width} AS h, sum(q.v * k.v) / sqrt({width}.0) AS v FROM q JOIN k ON q.doc_id = k.doc_id AND q.d = k.d GROUP BY ALL)",
-        "e AS (SELECT *, exp(v - max(v) OVER (PARTITION BY doc_id, p, h)) AS y FROM s)",
-        "a AS (SELECT doc_id, p, kp, h, y / sum(y) OVER (PARTITION BY doc_id, p, h) AS v FROM e)",
-        f"c AS (SELECT a.doc_id, a.p, v.d, sum(a.v * v.v) AS v FROM a JOIN v ON a.doc_id = v.doc_id AND a.kp = v.p AND a.h = v.d // {width} GROUP BY ALL)",
-    ]
-    linear("o", "c", layer.o, layer.o_bias)
-    added("x2", "x1", "o")
-    norm("x3", "x2", layer.attention_gamma, layer.attention_beta)
-    linear("u", "x3", layer.up, layer.up_bias)
-    parts.append(f"g AS (SELECT doc_id, p, d, 0.5 * v * (1 + tanh({v.GELU_SCALE} * (v + {v.GELU_CUBE} * v * v * v))) AS v FROM u)")
-    linear("f", "g", layer.down, layer.down_bias)
-    added("x4", "x3", "f")
-    norm("x5", "x4", layer.output_gamma, layer.output_beta)
-    parts.append("m AS (SELECT doc_id, d, avg(v) AS v FROM x5 GROUP BY ALL)")
-    final = "SELECT doc_id, CAST(d AS BIGINT) AS d, round(v / greatest(sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 1e-12), 6) + 0.0 AS v FROM m"
-    assert heads * width == m.hidden_size
-    return _ids_sql(m.max_position_embeddings) + ", " + ",\n".join(parts) + "\n" + final
-
-
-@query("encoder_forward_tiny", _encoder_sql())
+        parts.append(f"{out}_m AS (SELECT {key}, p, v, list_avg(v) AS m FROM {of})")
+        parts.append(f"{out}_c AS (SELECT {key}, p, {each(h, lambda i: f'v[{i}] - m')} AS c FROM {out}_m)")
+        parts.append(f"{out}_s AS (SELECT {key}, p, c, sqrt(list_dot_product(c, c) / {h} + {config.layer_norm_eps!r}) AS s FROM {out}_c)")
+        parts.append(f"{out} AS MATERIALIZED (SELECT {key}, p, {each(h, lambda i: f'c[{i}] / s * {float(gamma[i - 1]):.17e} + {float(beta[i - 1]):.17e}')} AS v FROM {out}_s)")
+
+    norm("x0", "x", w.gamma, w.beta)
+    last = "x0"
+    for n, layer in enumerate(w.layers):
+        t = f"l{n}"
+        qkv = ", ".join(f"{linear('v', getattr(layer, k), getattr(layer, f'{k}_bias'))} AS {k}_" for k in "qkv")
+        part = "[h * {0} + 1:h * {0} + {0}]".format(width)
+        parts += [
+            f"{t}_q AS (SELECT {key}, p, {qkv} FROM {last})",
+            f"{t}_h AS MATERIALIZED (SELECT {key}, p, h, q_{part} AS q, k_{part} AS k, v_{part} AS v FROM {t}_q, range({heads}) AS r(h))",
+            f"{t}_k AS (SELECT {key}, h, list(k ORDER BY p) AS ks, {each(width, lambda i: f'list(v[{i}] ORDER BY p)')} AS vs FROM {t}_h GROUP BY {key}, h)",
+            f"{t}_a AS (SELECT {key}, p, h, vs, list_transform(ks, lambda k: list_dot_product(q, k) / sqrt({width}.0)) AS s FROM {t}_h JOIN {t}_k USING ({key}, h))",
+            f"{t}_b AS (SELECT {key}, p, h, vs, s, list_max(s) AS top FROM {t}_a)",
+            f"{t}_e AS (SELECT {key}, p, h, vs, list_transform(s, lambda y: exp(y - top)) AS e FROM {t}_b)",
+            f"{t}_c AS (SELECT {key}, p, h, {each(width, lambda i: f'list_dot_product(e, vs[{i}]) / list_sum(e)')} AS c FROM {t}_e)",
+            f"{t}_m AS (SELECT {key}, p, flatten(list(c ORDER BY h)) AS c FROM {t}_c GROUP BY {key}, p)",
+            f"{t}_o AS (SELECT {key}, p, c, {linear('c', layer.o, layer.o_bias)} AS o FROM {t}_m)",
+            f"{t}_r AS (SELECT {key}, p, {each(h, lambda i: f'v[{i}] + o[{i}]')} AS v FROM {last} JOIN {t}_o USING ({key}, p))",
+        ]
+        norm(f"{t}_x", f"{t}_r", layer.attention_gamma, layer.attention_beta)
+        inner = layer.up.shape[1]
+        parts += [
+            f"{t}_u AS (SELECT {key}, p, v, {linear('v', layer.up, layer.up_bias)} AS u FROM {t}_x)",
+            f"{t}_g AS (SELECT {key}, p, v, {each(inner, lambda i: f'0.5 * u[{i}] * (1 + tanh({v.GELU_SCALE} * (u[{i}] + {v.GELU_CUBE} * u[{i}] * u[{i}] * u[{i}])))')} AS g FROM {t}_u)",
+            f"{t}_d AS (SELECT {key}, p, v, {linear('g', layer.down, layer.down_bias)} AS f FROM {t}_g)",
+            f"{t}_f AS (SELECT {key}, p, {each(h, lambda i: f'v[{i}] + f[{i}]')} AS v FROM {t}_d)",
+        ]
+        norm(f"{t}_y", f"{t}_f", layer.output_gamma, layer.output_beta)
+        last = f"{t}_y"
+    parts.append(f"y AS (SELECT * FROM {last})")
+    return _ids_sql() + ", " + ",\n".join(parts) + "\n" + final
+
+
+def _mean_sql(h: int) -> str:
+    """Mean of the tokens and unit length, as table ``z`` (doc_id, chunk_index, v)."""
+    mean = ", ".join(f"avg(v[{i}])" for i in range(1, h + 1))
+    return (
+        f", m AS (SELECT doc_id, chunk_index, [{mean}] AS v FROM y GROUP BY doc_id, chunk_index), "
+        "z AS (SELECT doc_id, chunk_index, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS v FROM m) "
+    )
+
+
+_CELLS = f"SELECT doc_id, chunk_index, unnest(range(0, len(v))) AS d, {_round('unnest(v)')} AS v FROM "
+
+
+def _embedded(spark: SparkSession, d: str, m: Embedder, options: EmbedOptions) -> DataFrame:
+    """Every chunk of every document, in double precision so that it can be held against SQL; a row for each element."""
+    rows = m.doubled().with_embeddings(chunks(spark, d), options=options)
+    return rounded(rows.select("doc_id", "chunk_index", F.posexplode("embedding").alias("d", "v")).withColumn("d", F.col("d").cast("long")))
+
+
+@query("encoder_forward_tiny", _encoder_sql(tiny(), _mean_sql(8) + _CELLS + "z"))
 def encoder_forward_tiny(spark: SparkSession, d: str) -> DataFrame:
-    """Every document through one encoder layer in double precision, cut at the model's 16 positions."""
-    column = tiny().doubled().column(F.col("text"), spark, EmbedOptions(16))
-    cells = docs(spark, d).select("doc_id", F.posexplode(column).alias("d", "v"))
-    return rounded(cells.select("doc_id", F.col("d").cast("long").alias("d"), "v"))
+    return _embedded(spark, d, tiny(), EmbedOptions(MAX_LENGTH))
 
 
-@query("embed_documents")
+@query("encoder_forward_distilled", _encoder_sql(distilled(), " " + _CELLS + "y WHERE p = 0"))
+def encoder_forward_distilled(spark: SparkSession, d: str) -> DataFrame:
+    """Two layers of the other family; the first token's vector as it is."""
+    return _embedded(spark, d, distilled(), EmbedOptions(MAX_LENGTH, "cls", False))
+
+
+@query("embed_documents", _encoder_sql(model(), _mean_sql(16) + _CELLS + "z"))
 def embed_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Every chunk of every document embedded; no SQL: the tests hold the kernel against an independent loop."""
-    rows = chunked(docs(spark, d).select("doc_id", "text"))
-    return model().with_embeddings(rows, options=EmbedOptions(MAX_LENGTH)).select("doc_id", "chunk_index", "embedding")
+    return _embedded(spark, d, model(), EmbedOptions(MAX_LENGTH))
+
+
+ASKED = "the end of the nation"
+
+
+def _search_sql() -> str:
+    q = model().doubled().embed([ASKED], EmbedOptions(MAX_LENGTH))[0]
+    score = f"list_dot_product(z.v, {_numbers(q)}) / greatest(sqrt(list_dot_product(z.v, z.v)) * {float(np.linalg.norm(q)):.17e}, 1e-12)"
+    return _encoder_sql(model(), _mean_sql(16) + f", s AS (SELECT doc_id, chunk_index, text, {score} AS s FROM z JOIN every USING (doc_id, chunk_index)) SELECT doc_id, chunk_index, {_round('s')} AS score, text FROM s ORDER BY s DESC, doc_id, chunk_index LIMIT {TOP}")
 
 
-@query("semantic_search")
+@query("semantic_search", _search_sql())
 def semantic_search(spark: SparkSession, d: str) -> DataFrame:
     """The chunks nearest to one text."""
-    rows = model().with_embeddings(chunked(docs(spark, d).select("doc_id", "text")), options=EmbedOptions(MAX_LENGTH))
-    vector = model().embed(["the end of the nation"], EmbedOptions(MAX_LENGTH))[0]
-    return s.search(rows, np.asarray(vector).tolist(), TOP, ["doc_id", "chunk_index"]).select("doc_id", "chunk_index", "score", "text")
+    m = model().doubled()
+    rows = m.with_embeddings(chunks(spark, d), options=EmbedOptions(MAX_LENGTH))
+    vector = m.embed([ASKED], EmbedOptions(MAX_LENGTH))[0]
+    return rounded(s.search(rows, np.asarray(vector).tolist(), TOP, ["doc_id", "chunk_index"]).select("doc_id", "chunk_index", "score", "text"), "score")
 
 
 def _named() -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,15 +61,31 @@ def read_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
     return listed.mapInArrow(load, "path string, text string")
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """The same from any file system Spark knows, listed and read by Spark: for large trees without hidden files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,txt}").load(root)
-    base = F.lit(root.rstrip("/") + "/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{md,txt}").load(root)
+    base = F.lit(re.sub("^file:/+", "/", root).rstrip("/") + "/")
     path = F.regexp_replace(files["path"], "^file:/+", "/")
     text = F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8")).otherwise(F.raise_error(F.concat(path, F.lit(" is no UTF-8 text"))))
     return files.select(F.replace(path, base, F.lit("")).alias("path"), text.alias("text"))
 
 
+def is_remote(root: str) -> bool:
+    """Whether a root is named by the scheme of a file system other than the machine's own."""
+    scheme, found, _ = root.partition("://")
+    return bool(found) and scheme != "file"
+
+
+def spread(df: DataFrame, least_bytes: int = 16 << 20) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it is smaller than ``least_bytes`` for each of them.
+
+    A small Parquet file has one row group and so one task, whatever work follows. Larger tables are left as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 0 < size < cores * least_bytes else df
+
+
 def path_order(path: str = "path"):
     """Sort key that orders paths component by component."""
     return F.split(F.col(path), "/")

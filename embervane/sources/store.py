@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +85,16 @@ class ChunkStore:
         return [path_order("path"), F.col("chunk_index")]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; only a local session without one has a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise StoreError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="embervane-")
+    return named
+
+
 def upsert(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``table`` with the rows of ``new`` put in by ``key``."""
     return table.join(new.select(key), key, "left_anti").unionByName(new)

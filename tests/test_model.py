@@ -13,7 +13,7 @@ from embervane.operators.embed import Embedder, vectors
 from embervane.options import EmbedOptions
 from embervane.plans import index as plan
 from embervane.sources import files, model, safetensors
-from embervane.sources.store import ChunkStore, upsert
+from embervane.sources.store import ChunkStore, shared_folder, upsert
 from embervane.streaming import edge
 
 TOKENS = "[PAD] [UNK] [CLS] [SEP] [MASK] hello world rust embedding machine learning semantic search the ##s ##ing a . !".split()
@@ -197,6 +197,8 @@ def test_files(spark, tree):
     assert [p for _, p in files.list_files(str(tree), recursive=False)] == ["_e.txt", "a.txt", "d e.txt", "empty.md"]
     assert files.list_files(str(tree / "a.txt"))[0][1] == "a.txt"
     assert {r.path for r in files.read_tree(spark, str(tree)).collect()} == {"a/b.md", "a-b/c.md", "a.txt", "d e.txt", "empty.md"}
+    assert {r.path for r in files.read_tree(spark, f"file://{tree}", False).collect()} == {"a.txt", "d e.txt", "empty.md"}
+    assert files.is_remote("s3a://bucket/x") and files.is_remote("hdfs://x") and not files.is_remote("/tmp/x") and not files.is_remote("file:///tmp")
     with pytest.raises(SourceError):
         files.list_files(str(tree / "none"))
     with pytest.raises(InvalidInput):
@@ -225,6 +227,17 @@ def test_index_and_search(spark, tree, folder, tmp_path, capsys):
         plan.validate_model_dir(str(tmp_path))
 
 
+def test_index_from_any_file_system(spark, tree, folder, tmp_path, monkeypatch):
+    """A root with a scheme is listed and read by Spark; the machine's own stands for one."""
+    monkeypatch.setattr(plan, "is_remote", lambda root: True)
+    store, model = ChunkStore(spark, str(tmp_path / "s")), Embedder.load(folder)
+    assert plan.index_directory(spark, f"file://{tree}", store, model) == 5 and {r.path for r in store.chunks().collect()} == {"a.txt", "a/b.md", "a-b/c.md", "d e.txt"}
+
+
+def test_shared_folder(spark):
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
 def test_store(spark, tmp_path):
     store = ChunkStore(spark, str(tmp_path / "s"))
     assert store.get_meta("a") is None and store.count() == 0

@@ -28,6 +28,16 @@ def test_pre_tokenize_equals_specification(spark, lower):
         assert got[i] == tk.pre_tokenize_str(x, lower), repr(x)
 
 
+def test_pre_tokenize_of_latin_texts(spark):
+    """Texts below U+0300 take another way; every sign of it, alone and among others."""
+    rng = random.Random(4)
+    texts = [chr(c) for c in range(0x300)] + ["".join(chr(rng.randrange(0x300)) for _ in range(30)) for _ in range(200)] + [f"a{chr(c)}b" for c in range(0x80, 0x300)]
+    for lower in (True, False):
+        got = {r.i: r.w for r in frame(spark, texts).select("i", t.pre_tokenize(F.col("text"), lower).alias("w")).collect()}
+        for i, x in enumerate(texts):
+            assert got[i] == tk.pre_tokenize_str(x, lower), repr(x)
+
+
 def test_pre_tokenize_known_cases(spark):
     expected = {
         "Hello, World!": ["hello", ",", "world", "!"], "it's a test-case.": ["it", "'", "s", "a", "test", "-", "case", "."],

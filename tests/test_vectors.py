@@ -67,8 +67,9 @@ def test_halves(spark):
 
 
 def test_blobs(spark):
-    df = spark.createDataFrame([([1.5, -2.0],), ([],), (None,)], "v array<float>")
-    assert [r[0] for r in df.select(v.from_blob(v.to_blob(F.col("v")))).collect()] == [[1.5, -2.0], [], None]
+    df = spark.createDataFrame([([1.5, -2.0],), ([],), (None,), ([3.0],)], "v array<float>").coalesce(1)
+    assert [r[0] for r in df.select(v.from_blob(v.to_blob(F.col("v")))).collect()] == [[1.5, -2.0], [], None, [3.0]]
+    assert [r[0] for r in df.select(v.to_blob(F.col("v"))).collect()] == [np.array([1.5, -2.0], "<f4").tobytes(), b"", None, np.array([3.0], "<f4").tobytes()]
     with pytest.raises(Exception, match="multiple of 4"):
         spark.createDataFrame([(bytearray(b"abc"),)], "b binary").select(v.from_blob(F.col("b"))).collect()
 
@@ -100,6 +101,21 @@ def test_matrices(spark):
     assert spark.range(1).select(place, la.flat_index([F.lit(3), F.lit(0)], [3, 4])).first()[:] == (6, None)
 
 
+def test_constructors_and_cells(spark):
+    m = la.from_values(spark, [1, 2, 3, 4, 5, 6], 2, 3)
+    assert dense(m) == [[1, 2, 3], [4, 5, 6]] and dense(la.ones(spark, 2, 2)) == [[1, 1], [1, 1]] and dense(la.zeros(spark, 1, 2)) == [[0, 0]]
+    assert la.full(spark, 0, 3, 1.0).count() == 0 and la.get(m, 1, 2).first()[0] == 6 and la.get(m, 2, 0).count() == 0
+    changed = la.set_cell(m, 0, 1, 9)
+    assert dense(changed) == [[1, 9, 3], [4, 5, 6]] and la.shape(m).first()[:] == (2, 2, 3, 6)
+    same = lambda a, b: la.equal(a, b).first()[0]
+    assert same(m, m) and not same(m, changed) and not same(m, la.transpose(m)) and same(m.limit(0), m.limit(0))
+    nan = la.full(spark, 1, 1, float("nan"))
+    assert not same(nan, nan)
+    for wrong in (lambda: la.from_values(spark, [1.0], 2, 2), lambda: la.full(spark, -1, 2, 0.0)):
+        with pytest.raises(TensorError):
+            wrong()
+
+
 def test_pooling(spark):
     df = spark.createDataFrame([(1, 0, [1.0, 2.0], 1), (1, 1, [3.0, 4.0], 1), (1, 2, [100.0, 200.0], 0), (2, 0, [7.0, 8.0], 0)], "t int, p int, x array<double>, m int")
     got = {(r.t, r.d): r.v for r in pooling.mean_pool(df, "t", "x", "m").collect()}
@@ -123,17 +139,22 @@ def test_search_plans_a_top_k(spark):
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
 
 
-@pytest.mark.parametrize("tile", [7, 1000])
-def test_top_k_join_equals_brute_force(spark, tile):
+@pytest.mark.parametrize("tile_bytes", [200, 10**6])
+def test_top_k_join_equals_brute_force(spark, tile_bytes):
     rng = np.random.default_rng(5)
     x = np.round(rng.normal(size=(40, 3)), 1)
     x[7], x[9] = x[3], x[3]  # ties
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
-    got = {(r.query_id, r["rank"]): r.id for r in search.top_k_join(df.withColumnRenamed("id", "query_id"), df, 4, tile=tile).collect()}
+    got = {(r.query_id, r["rank"]): r.id for r in search.top_k_join(df.withColumnRenamed("id", "query_id"), df, 4, tile_bytes).collect()}
     n = np.linalg.norm(x, axis=1)
     score = np.round(x @ x.T / np.maximum(n[:, None] * n, 1e-12), 9)
     for q in range(40):
         assert [got[q, k] for k in range(1, 5)] == sorted(range(40), key=lambda i: (-score[q, i], i))[:4]
+    others = {(r.query_id, r["rank"]): r.id for r in search.top_k_join(df.withColumnRenamed("id", "query_id"), df, 2, tile_bytes, self_pairs=False).collect()}
+    for q in range(40):
+        assert [others[q, k] for k in (1, 2)] == sorted(set(range(40)) - {q}, key=lambda i: (-score[q, i], i))[:2]
+    every = {(r.query_id, r.id): r.score for r in search.score_join(df.withColumnRenamed("id", "query_id"), df, tile_bytes).collect()}
+    assert len(every) == 1600 and all(abs(every[a, b] - score[a, b]) < 1e-8 for a, b in every)
 
 
 def test_math_is_double():
