@@ -6,7 +6,8 @@
    two digests share (a handful among 10^10 texts) are found and replaced, so no two texts are ever one by chance.
 2. 40 bands of 3 values give candidates (a pair of similarity 0.5 is missed with probability 0.005). In a bucket every node
    meets the lowest one and its 8 predecessors, which is every pair of a bucket of up to 9. Larger buckets are then cut
-   into equal block tiles in which all pairs meet, but those that are in one component by then.
+   into equal block tiles in which all pairs meet, but those that are in one component by then. A bucket of more than ``HOT``
+   nodes is sorted in parts of about that size.
 3. Candidates compare their signatures batch by batch; under a uniform prior the posterior of the similarity is a Beta, and
    a pair is dropped as soon as the probability that it reaches the threshold falls under ``miss`` over the number of batches,
    so that all batches together miss at most ``miss``.
@@ -46,6 +47,7 @@ BATCH = 8
 _TILE = ["bucket", "tile_a", "tile_b"]
 _ARROW_TILE = {"bucket": pa.int64(), "tile_a": pa.int32(), "tile_b": pa.int32()}
 NEIGHBOURS = 8
+HOT = 50_000  # nodes of a bucket that are sorted together
 TILE = 512
 _MULTIPLIERS = np.random.default_rng(20240607).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -228,11 +230,11 @@ def tile_pairs(table: pa.Table, least: np.ndarray) -> pa.Table:
 def crowded_pairs(nodes: DataFrame, large: DataFrame, found: DataFrame, threshold: float, miss: float, tile: int = TILE) -> DataFrame:
     """(bucket, tile_a, tile_b, a, b): all pairs of crowded buckets between components that pass the sequential test."""
     least = least_matches(threshold, miss)
-    whole = Window.partitionBy("bucket")
     rooted = large.join(found.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-    mixed = rooted.select("*", F.min("root").over(whole).alias("low"), F.max("root").over(whole).alias("high"), F.count(F.lit(1)).over(whole).alias("n"))
+    rooted = cut(rooted)
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
     blocks = F.ceil(F.col("n") / tile).cast("int")
-    blocked = mixed.where("low < high").select("bucket", "key", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("key", "bucket"), blocks).cast("int").alias("block"))
+    blocked = rooted.join(mixed.select("bucket", "n"), "bucket").select("bucket", "key", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("key", "bucket"), blocks).cast("int").alias("block"))
     placed = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket", F.least("block", "other").alias("tile_a"), F.greatest("block", "other").alias("tile_b"), "block", "key", "root"
     )
@@ -249,13 +251,19 @@ def bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("key", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("b")).select(F.xxhash64("b", piece).alias("bucket"), "key")
 
 
-def bucket_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b: each node of a bucket with the lowest and with its predecessors."""
-    near = Window.partitionBy("bucket").orderBy("key")
-    first = F.first("key").over(near)
-    others = F.array(first, *[F.lag("key", k).over(near) for k in range(1, NEIGHBOURS + 1)])
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """(bucket, key, n, lowest) of the buckets that several nodes share; partial counts first, so a hot bucket is a row of each task."""
+    rows = bands(nodes)
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lowest")).where("n > 1")
+    return rows.join(sizes, "bucket")
+
+
+def bucket_pairs(members: DataFrame, hot: int = HOT) -> DataFrame:
+    """Distinct (a, b), a < b: each node of a bucket with the lowest and with its predecessors, in hot buckets those of its own part."""
+    near = Window.partitionBy("bucket", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / hot))).orderBy("key")
+    others = F.array("lowest", *[F.lag("key", k).over(near) for k in range(1, NEIGHBOURS + 1)])
     return (
-        rows.select("key", first.alias("lowest"), others.alias("o"))
+        members.select("key", "lowest", others.alias("o"))
         .where("lowest < key")
         .select(F.explode(F.array_distinct("o")).alias("a"), F.col("key").alias("b"))
         .where("a is not null and a < b")
@@ -263,7 +271,7 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
     )
 
 
-def near_groups(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, bits: int = 64) -> tuple[DataFrame, DataFrame, Keys]:
+def near_groups(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, bits: int = 64, hot: int = HOT) -> tuple[DataFrame, DataFrame, Keys]:
     """(doc_id, key) of every row, (key, root): the group of every node that is near another one, and how keys are made."""
     small_batches(docs.sparkSession)
     keys = Keys(bits)
@@ -276,12 +284,12 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MIS
     if keys.shared:
         nodes = cut(some.select(keys.of(F.col("digest")).alias("key"), "sig").groupBy("key").agg(F.first("sig").alias("sig")))
     nodes = nodes.select("key", "sig")
-    tested = cut(bucket_pairs(bands(nodes)))
+    members = cut(bucket_members(nodes))
+    tested = cut(bucket_pairs(members, hot))
     edges = verified(docs, nodes, tested, threshold, miss, keys)
     found = components(edges)
     # buckets over the all-pairs size: every pair that isn't in one component yet
-    sized = bands(nodes).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
-    large = cut(sized.where(F.col("n") > NEIGHBOURS + 1).select("bucket", "key"))
+    large = members.where(F.col("n") > min(NEIGHBOURS + 1, hot)).select("bucket", "key")
     if not large.isEmpty():
         met = cut(crowded_pairs(nodes, large, found, threshold, miss))
         new = cut(met.groupBy("a", "b").agg(F.min(F.struct(*_TILE)).alias("t")).select("t.*", "a", "b").join(tested, ["a", "b"], "left_anti"))
@@ -330,9 +338,9 @@ def verified_tiles(docs: DataFrame, pairs: DataFrame, threshold: float, keys: Ke
     return cut(pairs.groupBy(*_TILE).cogroup(placed.groupBy(*[f"of_{c}" for c in _TILE])).applyInArrow(solve, "u long, v long").distinct())
 
 
-def duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, bits: int = 64) -> DataFrame:
+def duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, bits: int = 64, hot: int = HOT) -> DataFrame:
     """(doc_id, duplicate_of, group_size): a row for each document that goes, with the one that stays in its place."""
-    ids, found, _ = near_groups(docs, threshold, miss, bits)
+    ids, found, _ = near_groups(docs, threshold, miss, bits, hot)
     numbered = ids.where("key is not null").withColumn("row", F.monotonically_increasing_id())  # of checkpointed rows: stable
     rooted = numbered.join(found, "key", "left").select("doc_id", "row", F.coalesce("root", "key").alias("root"))
     # partial sums first, so that a group of any size is one row of each task

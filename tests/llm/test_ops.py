@@ -586,6 +586,7 @@ def test_near_groups_equal_brute_force(spark):
     want = brute_groups(texts)
     assert got <= want and len(got) >= 0.98 * len(want)  # every one of them verified; a candidate may be missed
     assert {(r.doc_id, r.duplicate_of) for r in minhash.duplicates(frame(spark, texts), bits=6).collect()} == got  # keys that collide
+    assert {(r.doc_id, r.duplicate_of) for r in minhash.duplicates(frame(spark, texts), hot=5).collect()} == got  # buckets in parts
     kept = {r.doc_id for r in minhash.near_dedup(frame(spark, texts)).collect()}
     assert kept == set(texts) - {a for a, _ in got}
 
