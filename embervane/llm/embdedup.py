@@ -139,7 +139,9 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, tile_bytes: int = TI
     grouped = rows.where("v is not null").groupBy("v", "single").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("low"))
     classes = cut(grouped.select(F.monotonically_increasing_id().alias("node"), "*"))
     size = classes.agg(F.count(F.lit(1)), F.max(F.length("v"))).first()
-    blocks = max(1, math.ceil(size[0] * (size[1] or 1) / tile_bytes))
+    # by bytes; for a small table a tile for each core
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, math.ceil(size[0] * (size[1] or 1) / tile_bytes), min(size[0] // 2000, math.ceil(math.sqrt(2 * cores))))
     placed = classes.select(
         "node", "weight", "v", "single", F.length("v").alias("bytes"), F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
     ).select("*", F.least("block", "other").alias("tile_a"), F.greatest("block", "other").alias("tile_b"))
