@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from embervane.llm import lines, minhash, packing, pii, quality
 from embervane.llm.common import ensure_checkpoint_dir, fresh
+from embervane.sources.files import spread
 
 #: No SQL: the classifier, MinHash and packing can't be expressed. The tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -74,7 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, before = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         if before is not None:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import spread
 from . import bpe, embdedup, fingerprint, lines, minhash, packing, pii, quality, suffix, toxicity
 
 
@@ -13,7 +14,8 @@ LOOSE, STRICT = 0.4, 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, in a partition for each core where it is small: a file of one row group is one task."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
