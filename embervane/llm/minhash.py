@@ -367,3 +367,21 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS
     kept = kept.withColumn(rank, F.row_number().over(once)).where(F.col(rank) == 1)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return kept.select(*columns).unionAll(keyed.where(F.col(digest).isNull()).select(*columns))
+
+
+#: The groups themselves, by comparing every two texts that share a shingle: exact, where signatures may miss a pair.
+SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents WHERE text IS NOT NULL),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) < {SHINGLE} THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - {SHINGLE - 2}), lambda i: array_to_string(words[i:i + {SHINGLE - 1}], ' '))) END AS shingles
+  FROM w WHERE len(words) > 0),
+one AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= {THRESHOLD} * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+root AS (SELECT a AS doc_id, least(a, min(b)) AS duplicate_of FROM reach GROUP BY a)
+SELECT doc_id, duplicate_of, group_size FROM (SELECT *, count(*) OVER (PARTITION BY duplicate_of) AS group_size FROM root) WHERE doc_id <> duplicate_of
+"""

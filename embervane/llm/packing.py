@@ -178,3 +178,10 @@ def knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float
             pattern[by[at]] += 1
             at -= int(sizes[by[at]])
     return float(best[capacity]), pattern
+
+
+#: Tokens and pieces of each document, wherever they are.
+TOTALS_SQL = rf"""
+WITH n AS (SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS BIGINT) + 1 AS n FROM documents)
+SELECT doc_id, n AS tokens, CAST(ceil(n / {CAPACITY}.0) AS BIGINT) AS pieces FROM n WHERE n > 1
+"""

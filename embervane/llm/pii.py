@@ -336,3 +336,9 @@ def expected_disclosure(values: int, together: int, documents: int, holders: int
     p = values / n
     low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     return 1 - math.log(low) / math.log(holders / total)
+
+
+#: Mail addresses, by a pattern without the look-behind that SQL lacks.
+MAILS_SQL = r"""
+SELECT doc_id, CAST(len(regexp_extract_all(text, '[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[a-zA-Z]{2,}')) AS BIGINT) AS mails FROM documents
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.files import spread
 from . import bpe, embdedup, fingerprint, lines, minhash, packing, pii, quality, suffix, toxicity
@@ -26,6 +27,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def bpe_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2's ids say when they are decoded."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = docs.select("doc_id", bpe.encoder(docs)(F.col("text")).alias("ids"))
+    return ids.select("doc_id", bpe.decoder(docs)(F.col("ids")).alias("text"))
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.links(table(spark, sf_dir, "embeddings"))
 
@@ -39,6 +47,11 @@ def op4_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def pii_mail_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many mail addresses op4 takes out of each document."""
+    return op4_pii_sanitisation(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit(r"\[EMAIL\]")).cast("long").alias("mails"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -69,6 +82,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def packing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens of each document op9 has placed, in how many pieces."""
+    return op9_best_fit_packing(spark, sf_dir).groupBy("doc_id").agg(F.sum("n_tokens").cast("long").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicates(table(spark, sf_dir, "documents"))
 
@@ -87,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fingerprint_groups": fingerprint_groups,
     "embedding_links_loose": embedding_links_loose,
     "line_dedup_strict": line_dedup_strict,
+    "packing_totals": packing_totals,
+    "bpe_decoded": bpe_decoded,
+    "pii_mail_counts": pii_mail_counts,
 }
 
 SQL: dict[str, str] = {
@@ -96,4 +117,8 @@ SQL: dict[str, str] = {
     "op8_line_dedup": lines.sql(),
     "line_dedup_strict": lines.sql(STRICT),
     "fingerprint_groups": fingerprint.GROUPS_SQL,
+    "op10_minhash_near_dedup": minhash.SQL,
+    "packing_totals": packing.TOTALS_SQL,
+    "bpe_decoded": "SELECT doc_id, text FROM documents",
+    "pii_mail_counts": pii.MAILS_SQL,
 }
