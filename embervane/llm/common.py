@@ -81,6 +81,11 @@ def lean(batches: Callable) -> Callable:
     return run
 
 
+def once(udf):
+    """The function, run once: filters on its result aren't pushed through it, which would run it a second time."""
+    return udf.asNondeterministic()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Avalanche finaliser on uint64 (in place)."""
     h ^= h >> np.uint64(33)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, lean, small_batches
+from .common import cut, lean, once, small_batches
 
 FILTER_BITS = 1 << 28
 PROBES = 3
@@ -56,6 +56,7 @@ def probes(digests: list[bytes], bits: int) -> np.ndarray:
 def canonical_digest(digest: Callable[[bytes], bytes], shared=None):
     """Column function: text -> (digest, canonical bytes); bytes only of digests in the filter, and none without a filter."""
 
+    @once
     @F.arrow_udf(T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("canon", T.BinaryType())]))
     @lean
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, lean, small_batches
+from .common import fresh, lean, once, small_batches
 
 MIN_DOCS = 100
 BROADCAST_ROWS = 2_000_000
@@ -67,6 +67,7 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_rows: int =
     held = rows["first"].is_valid().to_numpy(zero_copy_only=False)[order]
     shared = docs.sparkSession.sparkContext.broadcast((h[order], rows["first"].fill_null(0).to_numpy()[order], held))
 
+    @once
     @F.arrow_udf("string")
     @lean
     def without(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHash, buffers, cut, fresh, lean, mix, small_batches, steps, words
+from .common import SpanHash, buffers, cut, fresh, lean, mix, once, small_batches, steps, words
 from .components import components
 
 THRESHOLD = 0.5
@@ -120,6 +120,7 @@ def signature_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.concat_arrays(names), pa.concat_arrays(blobs)], ["digest", "sig"])
 
 
+@once
 @F.arrow_udf(T.BinaryType())
 @lean
 def digest_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

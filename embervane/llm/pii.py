@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHash, buffers, cut, equal_spans, fresh, lean, small_batches, steps, words
+from .common import SpanHash, buffers, cut, equal_spans, fresh, lean, once, small_batches, steps, words
 
 DISCLOSURE = 0.8
 Z = 3.0
@@ -105,6 +105,7 @@ def masked(text: str, found: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
+@once
 @F.arrow_udf(
     T.StructType([T.StructField("rest", T.StringType()), T.StructField("class", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.LongType()))])
 )

@@ -16,7 +16,9 @@ so two documents that share a passage share an anchor inside it with its left an
    exactly which texts hold the same window. Windows held by two documents or more are joined to passages.
 
 Anchors that more than ``HOT_TEXTS`` texts share (a license text in every hundredth document) aren't sorted, as a prefix group is merged
-by one task: their windows are digested (128 bits), grouped with partial sums, and joined back. The result is the same.
+by one task: their windows are digested (128 bits) and grouped with partial sums, which leaves one row a task of a window that all
+hold. The texts then look their windows up among the repeated ones: in a broadcast of at most ``BROADCAST_WINDOWS`` of them, by a join beyond.
+The result is the same.
 
 Scale: text is shuffled once, for documents with shared anchors; the other shuffles carry hashes and front-coded runs. Texts that
 are copies of each other are sorted once. A range holds whole prefix groups of at most ``HOT_TEXTS`` texts each.
@@ -38,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHash, buffers, cut, lean, list_array, mix, powers, small_batches, steps, words
+from .common import SpanHash, buffers, cut, lean, list_array, mix, once, powers, small_batches, steps, words
 
 MIN_WORDS = 50
 PREFIX = 20
@@ -46,6 +48,7 @@ PREFIX = 20
 END = b" "
 RUN_BYTES = 32_000_000
 HOT_TEXTS = 20_000
+BROADCAST_WINDOWS = 500_000
 RANGE_BYTES, ANCHOR_BYTES = 32_000_000, 500
 _NO_DOC = (1 << 63) - 1
 _LOW = np.uint64(0xFFFFFFFF)
@@ -90,6 +93,7 @@ _ANCHORS = T.StructType(
 
 
 def anchor_udf(min_words: int, prefix: int):
+    @once
     @F.arrow_udf(_ANCHORS)
     @lean
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -257,23 +261,64 @@ def _ranged(rows: list[tuple[bytes, bytes, int, int, int]], splits: np.ndarray,
 _WINDOWS = "digest binary, key long, start int, doc long"
 
 
+def _windows(batch: pa.RecordBatch, min_words: int, prefix: int) -> Iterator[tuple[int, int, np.ndarray, list[bytes]]]:
+    """(key, doc, first words, digests) of each text: its windows that hold the prefix of one of the given anchors."""
+    digest = xxhash.xxh3_128_digest
+    for key, doc, text, at in zip(batch["key"].to_pylist(), batch["doc"].to_pylist(), batch["text"], batch["at"]):
+        split = text.as_buffer().to_pybytes().split()
+        starts = sorted({x for p in at.values.to_pylist() for x in range(max(0, p - min_words + prefix), min(p, len(split) - min_words) + 1)})
+        yield key, doc, np.array(starts, np.int64), [digest(END.join(split[x : x + min_words])) for x in starts]
+
+
 @lean
 def windows_of(batches: Iterator[pa.RecordBatch], min_words: int, prefix: int) -> Iterator[pa.RecordBatch]:
     """Digest, text and first word of every window that holds one of the given anchors' prefixes."""
-    digest = xxhash.xxh3_128_digest
     for batch in batches:
-        for key, doc, text, at in zip(batch["key"].to_pylist(), batch["doc"].to_pylist(), batch["text"], batch["at"]):
-            split = text.as_buffer().to_pybytes().split()
-            starts = sorted({x for p in at.values.to_pylist() for x in range(max(0, p - min_words + prefix), min(p, len(split) - min_words) + 1)})
-            columns = {
-                "digest": [digest(END.join(split[x : x + min_words])) for x in starts],
-                "key": np.full(len(starts), key, np.int64),
-                "start": np.array(starts, np.int32),
-                "doc": np.full(len(starts), doc, np.int64),
-            }
+        for key, doc, starts, digests in _windows(batch, min_words, prefix):
+            n = len(starts)
+            columns = {"digest": digests, "key": np.full(n, key, np.int64), "start": starts.astype(np.int32), "doc": np.full(n, doc, np.int64)}
             yield pa.RecordBatch.from_pydict(columns, schema=_WINDOWS_ARROW)
 
 
+class Repeated:
+    """Repeated windows' digests as two sorted arrays, with the lowest doc of each."""
+
+    def __init__(self, digests: list[bytes], first: np.ndarray):
+        halves = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.uint64)
+        order = np.lexsort((halves[:, 1], halves[:, 0]))
+        self.high, self.low, self.first = halves[order, 0], halves[order, 1], first[order]
+
+    def find(self, digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(which are repeated, the lowest doc of each of these)."""
+        halves = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.uint64)
+        at, hit = np.searchsorted(self.high, halves[:, 0]), np.full(len(halves), -1, np.int64)
+        open_ = np.flatnonzero(at < len(self.high))
+        while len(open_):  # digests of one high half stand side by side
+            open_ = open_[self.high[at[open_]] == halves[open_, 0]]
+            same = self.low[at[open_]] == halves[open_, 1]
+            hit[open_[same]] = at[open_[same]]
+            at[open_] += 1
+            open_ = open_[~same & (at[open_] < len(self.high))]
+        some = np.flatnonzero(hit >= 0)
+        return some, self.first[hit[some]]
+
+
+@lean
+def spans_of(batches: Iterator[pa.RecordBatch], shared, min_words: int, prefix: int) -> Iterator[pa.RecordBatch]:
+    """Key, start, end and lowest doc of every stretch of repeated windows."""
+    for batch in batches:
+        rows: list[tuple[int, int, int, int]] = []
+        for key, _, starts, digests in _windows(batch, min_words, prefix):
+            if digests:
+                some, first = shared.value.find(digests)
+                hit = starts[some]
+                begin = np.flatnonzero(np.append(True, np.diff(hit) > min_words)) if len(hit) else hit
+                for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(hit)]):
+                    rows.append((key, int(hit[a]), int(hit[b - 1]) + min_words, int(first[a:b].min())))
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "start", "end", "first"])
+
+
 _WINDOWS_ARROW = pa.schema([("digest", pa.binary()), ("key", pa.int64()), ("start", pa.int32()), ("doc", pa.int64())])
 _RUN = "range int, shared binary, size binary, rest binary, left_size binary, left binary, key binary, at binary, doc binary"
 _RUN_ARROW = pa.schema([("range", pa.int32())] + [(k, pa.binary()) for k in ("shared", "size", "rest", "left_size", "left", "key", "at", "doc")])
@@ -353,7 +398,7 @@ def text_keys(rows: DataFrame, bits: int = 64) -> Column:
     return F.when(key.isin(known), F.xxhash64(F.lit("again"), digest)).otherwise(key) if known else key
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX, bits: int = 64, hot_texts: int = HOT_TEXTS) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX, bits: int = 64, hot_texts: int = HOT_TEXTS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, start_word, end_word, first_doc_id): passages (end exclusive) that at least two documents hold.
 
     ``first_doc_id`` is the lowest doc_id that holds some window of the passage; dedup keeps it there and drops it elsewhere.
@@ -392,10 +437,17 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int =
 
     spans = runs.groupBy("range").applyInArrow(merge, _SPANS)
     if size[1]:
-        found = cut(texts_at(shared.where(hot)).mapInArrow(lambda it: windows_of(it, min_words, prefix), _WINDOWS).distinct())
+        own = cut(texts_at(shared.where(hot)))
+        found = own.mapInArrow(lambda it: windows_of(it, min_words, prefix), _WINDOWS)
         groups = found.groupBy("digest").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.min("doc").alias("first")).where("x < y")
-        hits = found.join(groups.select("digest", "first"), "digest")
-        spans = spans.unionAll(hits.select("key", "start", (F.col("start") + min_words).cast("int").alias("end"), "first"))
+        groups = cut(groups.select("digest", "first"))
+        if groups.count() <= broadcast_windows:
+            table = groups.toArrow()
+            known = session.sparkContext.broadcast(Repeated(table["digest"].to_pylist(), table["first"].to_numpy()))
+            more = own.mapInArrow(lambda it: spans_of(it, known, min_words, prefix), _SPANS)
+        else:
+            more = found.join(groups, "digest").select("key", "start", (F.col("start") + min_words).cast("int").alias("end"), "first")
+        spans = spans.unionAll(more)
     copies = texts_of.where("copies > 1").select("key", F.lit(0).alias("start"), F.col("n").cast("int").alias("end"), F.col("doc").alias("first"))
     # overlapping and touching spans of a text are one passage
     by = Window.partitionBy("key").orderBy("start", "end")

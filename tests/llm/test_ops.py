@@ -330,10 +330,19 @@ def test_passages_equal_brute_force(spark, n, prefix, letters):
     got = {tuple(r) for r in suffix.repeated_passages(frame(spark, texts), n, prefix).collect()}
     assert got == windows_of(texts, n) and got
     # the same when anchors are digested instead of sorted, and when text keys collide
-    assert {tuple(r) for r in suffix.repeated_passages(frame(spark, texts), n, prefix, hot_texts=3).collect()} == got
+    for broadcast in (0, 10**6):
+        assert {tuple(r) for r in suffix.repeated_passages(frame(spark, texts), n, prefix, hot_texts=3, broadcast_windows=broadcast).collect()} == got
     assert {tuple(r) for r in suffix.repeated_passages(frame(spark, texts), n, prefix, bits=3).collect()} == got
 
 
+def test_repeated_windows_are_found():
+    rng = random.Random(1)
+    names = sorted({bytes([rng.randrange(2)] * 8 + [rng.randrange(6)] * 8) for _ in range(200)})
+    known = suffix.Repeated(names[::2], np.arange(0, len(names), 2))
+    some, first = known.find(names)
+    assert some.tolist() == first.tolist() == list(range(0, len(names), 2))
+
+
 def test_passages_with_control_signs(spark):
     """A sign that no white space is stands inside words, whatever joins them."""
     rng = random.Random(3)
