@@ -18,7 +18,8 @@ so two documents that share a passage share an anchor inside it with its left an
 Anchors that more than ``HOT_TEXTS`` texts share (a license text in every hundredth document) aren't sorted, as a prefix group is merged
 by one task: their windows are digested (128 bits) and grouped with partial sums, which leaves one row a task of a window that all
 hold. The texts then look their windows up among the repeated ones: in a broadcast of at most ``BROADCAST_WINDOWS`` of them, by a join beyond.
-The result is the same.
+Hot anchors are found where the texts are read, so no text moves for them, in a broadcast of at most ``BROADCAST_HOT`` of them; beyond,
+texts meet them by a join. The result is the same.
 
 Scale: text is shuffled once, for documents with shared anchors; the other shuffles carry hashes and front-coded runs. Texts that
 are copies of each other are sorted once. A range holds whole prefix groups of at most ``HOT_TEXTS`` texts each.
@@ -49,6 +50,7 @@ END = b" "
 RUN_BYTES = 32_000_000
 HOT_TEXTS = 20_000
 BROADCAST_WINDOWS = 500_000
+BROADCAST_HOT = 2_000_000
 RANGE_BYTES, ANCHOR_BYTES = 32_000_000, 500
 _NO_DOC = (1 << 63) - 1
 _LOW = np.uint64(0xFFFFFFFF)
@@ -258,6 +260,22 @@ def _ranged(rows: list[tuple[bytes, bytes, int, int, int]], splits: np.ndarray,
         yield pa.RecordBatch.from_pydict(columns, schema=_RUN_ARROW)
 
 
+def at_hot(batches: Iterator[pa.RecordBatch], known, min_words: int, prefix: int) -> Iterator[pa.RecordBatch]:
+    """The rows (key, doc, text) with anchors among the known hashes, and where these are (at)."""
+    hashes = known.value
+    for batch in batches:
+        data, offsets = buffers(batch["text"])
+        for a, b in steps(offsets):
+            h, at, _, ends, _ = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], min_words, prefix)
+            own = h.view(np.int64)
+            hot = hashes[np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)] == own
+            bounds = np.concatenate([[0], np.cumsum(hot)])[ends]
+            some = pa.array(np.flatnonzero(np.diff(bounds)))
+            if len(some):
+                rows = batch.slice(a, b - a).take(some)
+                yield pa.RecordBatch.from_arrays([rows["key"], rows["doc"], rows["text"], list_array(pa.array(at[hot]), bounds).take(some)], ["key", "doc", "text", "at"])
+
+
 _WINDOWS = "digest binary, key long, start int, doc long"
 
 
@@ -398,7 +416,7 @@ def text_keys(rows: DataFrame, bits: int = 64) -> Column:
     return F.when(key.isin(known), F.xxhash64(F.lit("again"), digest)).otherwise(key) if known else key
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX, bits: int = 64, hot_texts: int = HOT_TEXTS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX, bits: int = 64, hot_texts: int = HOT_TEXTS, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_hot: int = BROADCAST_HOT) -> DataFrame:
     """(doc_id, start_word, end_word, first_doc_id): passages (end exclusive) that at least two documents hold.
 
     ``first_doc_id`` is the lowest doc_id that holds some window of the passage; dedup keeps it there and drops it elsewhere.
@@ -419,7 +437,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int =
     shared = every.groupBy("h").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
     shared = cut(shared.select("h", "n"))
     hot = F.col("n") > hot_texts
-    size = shared.agg(F.sum(F.when(~hot, F.col("n"))), F.max(hot)).first()
+    size = shared.agg(F.sum(F.when(~hot, F.col("n"))), F.sum(hot.cast("long"))).first()
     ranges = max(2 * int(session.conf.get("spark.sql.shuffle.partitions")), (size[0] or 0) * ANCHOR_BYTES // RANGE_BYTES)
     marks = rows.select(F.explode("lead").alias("lead")).agg(F.percentile_approx("lead", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
     marks = np.array(marks or [], np.int64)
@@ -437,7 +455,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int =
 
     spans = runs.groupBy("range").applyInArrow(merge, _SPANS)
     if size[1]:
-        own = cut(texts_at(shared.where(hot)))
+        if size[1] <= broadcast_hot:
+            hashes = session.sparkContext.broadcast(np.sort(shared.where(hot).select("h").toArrow()["h"].to_numpy()))
+            own = texts.select("key", F.coalesce("doc_id", F.lit(_NO_DOC)).alias("doc"), "text")
+            own = own.mapInArrow(lambda it: at_hot(it, hashes, min_words, prefix), "key long, doc long, text string, at array<int>")
+        else:
+            own = cut(texts_at(shared.where(hot)))
         found = own.mapInArrow(lambda it: windows_of(it, min_words, prefix), _WINDOWS)
         groups = found.groupBy("digest").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.min("doc").alias("first")).where("x < y")
         groups = cut(groups.select("digest", "first"))
@@ -447,7 +470,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int =
             more = own.mapInArrow(lambda it: spans_of(it, known, min_words, prefix), _SPANS)
         else:
             more = found.join(groups, "digest").select("key", "start", (F.col("start") + min_words).cast("int").alias("end"), "first")
-        spans = spans.unionAll(more)
+        spans = spans.unionAll(more.distinct())  # copies give the same
     copies = texts_of.where("copies > 1").select("key", F.lit(0).alias("start"), F.col("n").cast("int").alias("end"), F.col("doc").alias("first"))
     # overlapping and touching spans of a text are one passage
     by = Window.partitionBy("key").orderBy("start", "end")

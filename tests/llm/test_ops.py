@@ -330,8 +330,8 @@ def test_passages_equal_brute_force(spark, n, prefix, letters):
     got = {tuple(r) for r in suffix.repeated_passages(frame(spark, texts), n, prefix).collect()}
     assert got == windows_of(texts, n) and got
     # the same when anchors are digested instead of sorted, and when text keys collide
-    for broadcast in (0, 10**6):
-        assert {tuple(r) for r in suffix.repeated_passages(frame(spark, texts), n, prefix, hot_texts=3, broadcast_windows=broadcast).collect()} == got
+    for windows, hot in ((0, 0), (10**6, 10**6), (0, 10**6)):
+        assert {tuple(r) for r in suffix.repeated_passages(frame(spark, texts), n, prefix, hot_texts=3, broadcast_windows=windows, broadcast_hot=hot).collect()} == got
     assert {tuple(r) for r in suffix.repeated_passages(frame(spark, texts), n, prefix, bits=3).collect()} == got
 
 
