@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,5 +158,35 @@ def test_top_k_join_equals_brute_force(spark, tile_bytes):
     assert len(every) == 1600 and all(abs(every[a, b] - score[a, b]) < 1e-8 for a, b in every)
 
 
+def test_score_join_sends_pieces():
+    """Not all pairs of a tile are held at once, and none is lost; vectors without elements are pairs, too."""
+    rng = np.random.default_rng(6)
+    for n, m, dim in ((1000, 1500, 4), (3, 2, 0), (2, 250_000, 1)):
+        x, y = rng.normal(size=(n, dim)), rng.normal(size=(m, dim))
+        block = lambda v: search._block(pa.table({"id": np.arange(len(v)), "v": pa.FixedSizeListArray.from_arrays(v.ravel(), dim).cast(pa.list_(pa.float64())) if dim else pa.array([[]] * len(v), pa.list_(pa.float64()))}))
+        pieces = list(search._pairs(block(x), block(y)))
+        assert max(len(q) for q, _, _ in pieces) <= max(m, search.BATCH_ROWS)
+        q, c, s = map(np.concatenate, zip(*pieces))
+        assert len(np.unique(q * m + c)) == n * m
+        length = np.maximum(np.linalg.norm(x, axis=1)[q] * np.linalg.norm(y, axis=1)[c], 1e-12)
+        np.testing.assert_allclose(s, (x[q] * y[c]).sum(1) / length, atol=1e-12)
+
+
+def test_a_tile_is_a_task(spark):
+    """Pairs are dealt out by ``tile_rows``, whatever the bytes: the longest task doesn't grow with the table."""
+    df = spark.range(1000).select("id", F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    out = search.score_join(df.where("id % 10 = 0").withColumnRenamed("id", "query_id"), df, tile_rows=100)
+    assert out.rdd.getNumPartitions() == 10 and out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert out.count() == 100_000
+
+
+def test_quick_rounding(spark):
+    from embervane.plans import queries
+
+    x = [0.1234565, -0.1234565, 0.5e-6, -0.5e-6, 2.5e-6, 1.0, -0.0, 1e300, 0.12345649999999]
+    got = [r.v for r in queries.quickly_rounded(spark.createDataFrame([(a,) for a in x], "v double").coalesce(1)).collect()]
+    assert got == [math.copysign(math.floor(abs(a * 1e6) + 0.5) / 1e6, a) if abs(a) < 1e9 else a for a in x]
+
+
 def test_math_is_double():
     assert math.isclose(v.GELU_SCALE, math.sqrt(2 / math.pi), rel_tol=1e-6)
