@@ -1,3 +1,4 @@
+import copy
 import json
 import math
 import struct
@@ -89,6 +90,38 @@ def test_kernel_equals_a_plain_loop(config, pooling, normalize):
         np.testing.assert_allclose(v, slow_vector(tensors, config, ids, pooling, normalize), atol=2e-5)
 
 
+@pytest.mark.parametrize("scale", [1, 40])
+def test_attention_holds_a_few_rows_of_weights(scale, monkeypatch):
+    """Whatever the batch, no more than ``CELLS`` weights are held at a time, by the table of powers as by numpy's exp; the first token alone is the same."""
+    import tracemalloc
+
+    config = model.ModelConfig(30, 16, 2, 4, 32, 64)
+    weights = model.assemble(config, safetensors.SafeTensors(safetensors.write(model.seeded(config))))
+    layer = copy.deepcopy(weights.layers[0])
+    rng = np.random.default_rng(3)
+    x, mask = rng.normal(size=(64, 64, 16)), (np.arange(64)[None, :] < rng.integers(1, 65, 64)[:, None]).astype(int)
+    for name in ("q", "q_bias"):
+        setattr(layer, name, getattr(layer, name).astype(float) * scale)
+    monkeypatch.setattr(encoder, "CELLS", 1 << 13)
+    tracemalloc.start()
+    got = encoder.attention(x, mask, layer, 4)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 10 * x.nbytes < 64 * 4 * 64 * 64 * 8  # all weights would be more
+    split = lambda m, b: (x @ m + b).reshape(64, 64, 4, 4).swapaxes(1, 2)
+    q, k, v = split(layer.q, layer.q_bias), split(layer.k, layer.k_bias), split(layer.v, layer.v_bias)
+    e = q @ k.swapaxes(2, 3) / 2 + np.where(mask == 0, -1e4, 0)[:, None, None, :]
+    e = np.exp(e - e.max(-1, keepdims=True))
+    want = (e / e.sum(-1, keepdims=True) @ v).swapaxes(1, 2).reshape(64, 64, 16) @ layer.o + layer.o_bias
+    np.testing.assert_allclose(got, want, atol=1e-11)
+    np.testing.assert_allclose(encoder.attention(x, mask, layer, 4, first=True), want[:, :1], atol=1e-11)
+
+
+def test_exp_of_steps():
+    z = np.concatenate([np.linspace(-44, 44, 100_001), [0.0, -0.0]])
+    np.testing.assert_allclose(encoder.exp_of_steps(z / encoder._UNIT, np.empty_like(z), np.empty_like(z), np.empty(len(z), np.int64)), np.exp(z), rtol=1e-13)
+
+
 def test_attention_matters(embedder):
     """The comparison above would notice broken attention: with uniform weights the vectors are others."""
     tensors = model.seeded(CONFIG)
