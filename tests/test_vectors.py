@@ -172,6 +172,26 @@ def test_score_join_sends_pieces():
         np.testing.assert_allclose(s, (x[q] * y[c]).sum(1) / length, atol=1e-12)
 
 
+@pytest.mark.parametrize("self_pairs", [True, False])
+def test_the_quick_top_k_leaves_none_out(self_pairs):
+    """Copies, near copies, ties, zero vectors: the same as brute force, with few pairs scored in double precision."""
+    rng = np.random.default_rng(8)
+    y = rng.normal(size=(5000, 16))
+    y[100:140], y[4000:4003], y[7], y[4999] = y[99], y[5], 0, 0
+    y[3000:3500] = y[0] + rng.normal(size=(500, 16)) * 1e-7
+    ids = np.arange(5000) * 3
+    block = lambda part: (ids[part], y[part], np.linalg.norm(y[part], axis=1))
+    q, c, s = map(np.concatenate, zip(*search._near(block(slice(0, 600)), block(slice(None)), 5, self_pairs)))
+    n = np.linalg.norm(y, axis=1)
+    for i in range(600):
+        score = np.round((y @ y[i]) / np.maximum(n * n[i], 1e-12), 9)
+        if not self_pairs:
+            score[i] = -9
+        order = np.lexsort((ids, -score))[:5]
+        assert c[q == ids[i]].tolist() == ids[order].tolist() and np.abs(s[q == ids[i]] - score[order]).max() < 1e-8
+    assert search._near(block(slice(0, 600)), (ids, y * 1e-13, n * 1e-13), 5, True) is None and search._near(block(slice(0, 9)), block(slice(0, 9)), 5, True) is None
+
+
 def test_a_tile_is_a_task(spark):
     """Pairs are dealt out by ``tile_rows``, whatever the bytes: the longest task doesn't grow with the table."""
     df = spark.range(1000).select("id", F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
