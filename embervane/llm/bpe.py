@@ -359,18 +359,42 @@ def decoder(df: DataFrame, path: str = VOCABULARY):
             ids = lists.flatten().to_numpy(zero_copy_only=False)
             parts = []
             for a, b in steps(ends):
-                raw, at = own.decode(ids[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
-                part = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(at), pa.py_buffer(raw)])
-                try:
-                    parts.append(part.cast(pa.string()))
-                except pa.ArrowInvalid:
-                    parts.append(pa.array([x.decode("utf-8", "replace") for x in part.to_pylist()], pa.string()))
+                parts.append(_texts(*own.decode(ids[ends[a] : ends[b]], ends[a : b + 1] - ends[a])))
             texts = pa.concat_arrays([pa.array([], pa.string()), *parts])
             yield pa.compute.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string())) if lists.null_count else texts
 
     return decode
 
 
+def recoder(df: DataFrame, path: str = VOCABULARY):
+    """Column function: text -> the text that its ids decode to. The ids stay in one Python function instead of going to the JVM and back."""
+    table = shared(df, path)
+
+    @F.arrow_udf(T.StringType())
+    @lean
+    def recode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = table.value
+        for texts in batches:
+            data, offsets = buffers(texts)
+            parts = [pa.array([], pa.string())]
+            for a, b in steps(offsets):
+                ids, ends = own.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                parts.append(_texts(*own.decode(ids, ends)))
+            back = pa.concat_arrays(parts)
+            yield pa.compute.if_else(texts.is_valid(), back, pa.scalar(None, pa.string())) if texts.null_count else back
+
+    return recode
+
+
+def _texts(raw: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Strings of rows of bytes, with replacement signs where they are no UTF-8."""
+    part = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+    try:
+        return part.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in part.to_pylist()], pa.string())
+
+
 def round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, token_ids, n_tokens, lossless): every text encoded, decoded again and compared."""
     ids = docs.select("doc_id", "text", encoder(docs, path)(F.col("text")).alias("token_ids"))
